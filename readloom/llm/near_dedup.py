@@ -8,9 +8,9 @@ links go through alternating large-star and small-star steps; a component is nam
 
 Groups of copies never turn into all their pairs. Equal word sequences are one node, their smallest id. In each band
 bucket the members are compared with one centre, drawn anew every round, so a group of n similar texts costs n
-comparisons a round; rounds end when one brings no link. Only pairs of members that then still lie in different
-components are compared one by one, which makes the search exact over all candidates. Sets are computed for the
-documents that share a bucket only, and shuffled for those a round compares.
+comparisons a round; rounds end when they bring few links. Members that then still lie in different components meet in
+blocks of bounded size, where they are compared exactly without a row for each pair: the search is exact over all
+candidates. Sets are computed for the documents that share a bucket only, and shuffled for those a round compares.
 
 Edge cases: null and empty texts have empty sets and are linked with nothing; fewer words than a shingle count as one
 shingle of the whole sequence; rows without an id are linked with nothing, their component is null and they are kept;
@@ -24,12 +24,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import checkpointed, documents, matched, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 32, 4, 20240229
+#: Rounds go on while at least one in so many comparisons links; shingles (and 1000 a text) in a block.
+USEFUL, BLOCK = 4, 1_500_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], "uint64")
 
 
@@ -138,6 +140,86 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def block_links(here: DataFrame, sets: DataFrame, threshold: int, bands: int) -> DataFrame:
+    """Links between the components that still share buckets, by exact comparison in blocks of bounded size.
+
+    ``here``: (band, bucket, id, n, component, c). Ids that buckets connect form a cluster. A cluster is cut into blocks of about
+    ``BLOCK`` shingles, a large component into blocks of its own; every two blocks meet in one task, but for two of one
+    component. A task compares pairs of different components that agree on a band, with their full sets, and returns
+    links that join them, at most one for each id.
+    """
+    joint = components(here.select(F.col("id").alias("u"), F.col("c.id").alias("v"))).withColumnRenamed("component", "cluster")
+    nodes = checkpointed(here.select("id", "n", "component").distinct().join(joint, "id").withColumn("weight", F.col("n") + 1000))
+    comps = nodes.groupBy("cluster", "component").agg(F.sum("weight").alias("w")).withColumn("part", F.when(F.col("w") > BLOCK / 2, F.col("component")))
+    parts = comps.groupBy("cluster", "part").agg(F.ceil(F.sum("w") / BLOCK).cast("int").alias("nb"))
+    order = Window.partitionBy("cluster").orderBy(F.col("part").asc_nulls_first())
+    parts = parts.select("cluster", "part", "nb", (F.sum("nb").over(order) - F.col("nb")).cast("int").alias("off"), F.sum("nb").over(Window.partitionBy("cluster")).cast("int").alias("total"))
+    placed = nodes.join(comps.select("cluster", "component", "part"), ["cluster", "component"]).withColumnsRenamed({"cluster": "_c", "part": "_p"})
+    placed = placed.join(parts, (F.col("_c") == F.col("cluster")) & F.col("_p").eqNullSafe(F.col("part")))
+    block = F.col("off") + F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
+    same = F.col("part").isNotNull() & (F.col("other") >= F.col("off")) & (F.col("other") < F.col("off") + F.col("nb"))
+    placed = placed.filter(~same).select("id", "component", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    some = matched(sets, nodes.select("id"), ["id"], "left_semi")
+    rows = placed.join(some, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
+        block = table["block"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        items = [np.asarray(x.values) for x in table["items"]]
+        keys = np.array([band_keys(np.asarray(x.values).view("uint32"), bands) for x in table["sig"]])
+        size = np.array([len(x) for x in items])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out: list[tuple[int, int]] = []
+        for at in range(0, len(left), 256):
+            a = left[at : at + 256]
+            meet = np.zeros((len(a), len(right)), bool)
+            for band in range(keys.shape[1]):
+                meet |= keys[a, band][:, None] == keys[right, band]
+            meet &= comp[a][:, None] != comp[right]
+            meet &= 100 * np.minimum(size[a][:, None], size[right]) >= threshold * np.maximum(size[a][:, None], size[right])
+            if not meet.any():
+                continue
+            rows_, cols = np.flatnonzero(meet.any(1)), np.flatnonzero(meet.any(0))
+            common = overlaps([items[a[x]] for x in rows_], [items[right[y]] for y in cols])
+            total = size[a[rows_]][:, None] + size[right[cols]] - common
+            for x, y in np.argwhere(meet[np.ix_(rows_, cols)] & (100 * common >= threshold * total)):
+                u, v = a[rows_[x]], right[cols[y]]
+                p, q = find(int(comp[u])), find(int(comp[v]))
+                if p != q:
+                    root[p] = q
+                    out.append((int(ids[u]), int(ids[v])))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from incidence matrices over the items both sides have, some columns at a time."""
+    known = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), "float32")
+    for at in range(0, len(known), 8192):
+        some = known[at : at + 8192]
+
+        def incidence(sets):
+            m = np.zeros((len(sets), len(some)), "float32")
+            for k, x in enumerate(sets):
+                at_ = np.minimum(np.searchsorted(some, x), len(some) - 1)
+                m[k, at_[some[at_] == x]] = 1
+            return m
+
+        out += incidence(left) @ incidence(right).T
+    return out.astype("int64")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row per document: ``n_shingles``, ``component_id``, ``kept``."""
     base = written(sketches(docs, size, bands, rows, seed), "sketches")
@@ -150,29 +232,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = written(matched(wanted, members.select("id"), ["id"], "left_semi").transform(lambda d: full_sets(d, size, bands, rows, seed)).dropDuplicates(["id"]), "sets")
 
-    links, tested, labels, turn = None, None, None, 0
+    links, tested, labels, turn, found_all, useful = None, None, None, 0, False, None
     while True:
         here = members if labels is None else members.join(labels, "id", "left")
         here = here.withColumn("component", F.col("id") if labels is None else F.coalesce("component", "id"))
         open_ = here.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "n", "component")).alias("c")).filter("lo < hi")
-        here = here.join(open_.select("band", "bucket", "c"), ["band", "bucket"])
+        here = checkpointed(here.join(open_.select("band", "bucket", "c"), ["band", "bucket"]))
+        if found_all := here.isEmpty():
+            break
+        if useful is not None and not useful:
+            break
         pairs = here.filter("component <> c.component and 100 * least(n, c.n) >= {0} * greatest(n, c.n)".format(threshold))
         pairs = pairs.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct()
         pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         found = checkpointed(verified(pairs, sets, threshold))
         tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
-        if found.isEmpty():
+        n_found = found.count()
+        useful = n_found > 0 and USEFUL * n_found >= pairs.count()
+        if not n_found:
             break
         links = found if links is None else links.unionByName(found)
         labels = checkpointed(components(links))
-    # what no round has joined: pairs of different components, each once
-    a, b = (here.select("band", "bucket", F.col("id").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_c")) for c in "ab")
-    rest = a.join(b, ["band", "bucket"]).filter(f"a_id > b_id and a_c <> b_c and 100 * least(a_n, b_n) >= {threshold} * greatest(a_n, b_n)")
-    rest = checkpointed(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"))
-    found = checkpointed(verified(rest, sets, threshold))
-    if not found.isEmpty():
-        labels = checkpointed(components(found if links is None else links.unionByName(found)))
+    if not found_all:
+        found = checkpointed(block_links(here, sets, threshold, bands))
+        if not found.isEmpty():
+            labels = checkpointed(components(found if links is None else links.unionByName(found)))
     out = base.select("doc_id", "n_shingles", "key").join(nodes.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     if labels is not None:
         out = out.join(labels, "id", "left")
