@@ -7,13 +7,14 @@ from .licenses import op1_license_scan
 from .mixing import op10_mixing
 from .near_dedup import op2_near_dedup
 from .packing import op5_best_fit_packing, op9_token_matrices
+from .pii import op7_pii
 from .quality import op6_quality_rules
 from .secrets import op4_secret_scan
 from .sharding import op8_sharding
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_secret_scan, op5_best_fit_packing, op6_quality_rules, op8_sharding, op9_token_matrices, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_secret_scan, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_sharding, op9_token_matrices, op10_mixing)}
 
 
 def oracle_sql():
