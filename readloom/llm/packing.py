@@ -23,6 +23,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,18 +186,19 @@ def plan_bfd(histogram: dict[int, int], capacity: int) -> Bins:
 
 # pieces ----------------------------------------------------------------------------------------------------------------
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end: int = END, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids as uint16 bytes]); checksums are of 32-bit ids."""
+    """(doc_id, piece, start, length, ids_crc32[, ids as compressed uint16 bytes]); checksums are of 32-bit ids."""
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches):
         encode, tail = encoder(tokenizer), np.array([end], "<u2").tobytes()
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress if with_ids else None
         for batch in batches:
             rows: list[list] = [[] for _ in range(5 + with_ids)]
             for doc, ids in zip(batch.column(0).to_pylist(), (encode(x.as_py()) for x in batch.column(1)), strict=True):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 2 * capacity)):
                     part = ids[at : at + 2 * capacity]
-                    row = (doc, k, at // 2, len(part) // 2, zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes()), part)
+                    row = (doc, k, at // 2, len(part) // 2, zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes()), pack and pack(part))
                     for column, value in zip(rows, row, strict=False):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -260,6 +262,7 @@ def matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZ
         names = ("sequence_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "pieces", "position_starts")
         done: list[tuple] = []
         now, segments = None, []
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def close():
             if segments:
@@ -279,7 +282,7 @@ def matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZ
                 if seq != now:
                     close()
                     now = seq
-                segments.append((doc, piece, start, ids))
+                segments.append((doc, piece, start, unpack(ids)))
             if len(done) > 500:
                 yield flush()
         close()
