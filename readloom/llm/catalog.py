@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .fingerprints import op3_fingerprints
 from .licenses import op1_license_scan
 from .mixing import op10_mixing
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_license_scan": oracle.license_scan(), "op2_near_dedup": oracle.near_dedup(), "op6_quality_rules": oracle.quality_rules(), "op10_mixing": oracle.mixing()}
