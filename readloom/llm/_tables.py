@@ -30,10 +30,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor costs only the tasks it ran."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables ``written`` has made, once no frame reads them any more."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint (small tables of iterative steps); Spark removes its files when the frame is no longer held."""
     shared_dir(df.sparkSession)

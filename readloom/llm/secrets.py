@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ._tables import documents, written
 
+BROADCAST_SPANS = 500_000
 KINDS = ("assign", "access", "hex", "entropy")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -96,6 +97,8 @@ def masked(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     """``docs`` with live spans replaced by ``mark`` and ``n_chars`` renewed; other rows and columns as they are."""
     live = F.filter("spans", lambda s: s["live"] & (s["end"] > s["start"]))
     spans = written(scanned(docs, **options).select("doc_id", "key", live.alias("_s")).filter(F.size("_s") > 0).dropDuplicates(["doc_id", "key"]), "live").withColumnsRenamed({"doc_id": "_d", "key": "_k"})
+    if (spans.agg(F.sum(F.size("_s"))).first()[0] or 0) <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)  # of a checked size; texts then stay where they are
     out = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = out.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left")
     # pieces between spans: each begins where all spans before it have ended

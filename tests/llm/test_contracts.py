@@ -417,3 +417,14 @@ def test_sql(spark, name):
 def test_documents_table_is_whole():
     assert pq.read_metadata(f"{SF}/documents.parquet").num_rows >= 200
     assert near_dedup.THRESHOLD == 80 and near_dedup.SHINGLE == 5
+
+
+def test_written_tables_can_be_deleted(spark):
+    from readloom.llm import _tables
+
+    table = _tables.written(spark.range(5), "x")
+    assert table.count() == 5 and _tables.WRITTEN
+    _tables.forget(spark)
+    assert not _tables.WRITTEN
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(table.inputFiles()[0]).count()
