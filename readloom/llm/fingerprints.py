@@ -17,14 +17,15 @@ ids follow one another by text; a single document is its own next; an empty tabl
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import documents
+from ._tables import documents, let
 
 SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$")
 LONG = 400
@@ -110,13 +111,25 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(rows, "doc_id long, n_chars long, fingerprint string, sections array<struct<hash: string, paragraphs: array<struct<hash: string, start: bigint>>>>")
 
 
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` lie below ``value``: searched in two steps, so thousands of ranges cost about two square roots."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    below = lambda some: F.size(F.filter(some, lambda b: b < value))
+    tops = F.array(*[F.lit(g[-1]) for g in groups]).cast("array<bigint>")
+    every = F.array(*[F.array(*[F.lit(b) for b in g]).cast("array<bigint>") for g in groups])
+    return let(below(tops), lambda k: k * width + F.when(k < len(groups), below(F.get(every, k))).otherwise(len(groups[-1]) - width))
+
+
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """(part, role, doc_id, text): rows of an id range, then with role 1 the first of the next range."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(docs.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("o"))) if bounds else F.lit(0)
+    part = range_of(F.col("o"), [int(b) for b in bounds])
     rows = rows.withColumn("part", part)
     heads = sorted((r["part"], r["head"]) for r in rows.groupBy("part").agg(F.min("o").alias("head")).collect())  # a row per range
     known = spark.createDataFrame([(p, h, heads[k - 1][0]) for k, (p, h) in enumerate(heads)], "part int, head long, before int")

@@ -428,3 +428,10 @@ def test_written_tables_can_be_deleted(spark):
     assert not _tables.WRITTEN
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
         spark.read.parquet(table.inputFiles()[0]).count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101])
+def test_ranges(spark, n):
+    bounds = sorted(random.Random(n).sample(range(300), n))
+    got = spark.range(-1, 301).select("id", fingerprints.range_of(F.col("id"), bounds)).collect()
+    assert all(k == sum(b < v for b in bounds) for v, k in got)
