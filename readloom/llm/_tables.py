@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from readloom import reachable
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files make fewer tasks than that (a small table in one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(reachable(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
