@@ -24,6 +24,8 @@ from readloom.schemas import REFS
 
 MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 ITEMS, FAN, U32 = 1024, 256, 2**32 - 1
+#: Bases a summary record of each zoom level covers.
+ZOOMS = (2048, 16_384, 131_072)
 SCHEMA = "track STRING, chrom STRING, start BIGINT, end BIGINT, value FLOAT"
 
 
@@ -37,8 +39,10 @@ class File:
             self.order = next((o for o in "<>" if len(head) == 64 and struct.unpack(o + "I", head[:4])[0] == MAGIC), None)
             if self.order is None:
                 raise ValueError(f"{path} is not a BigWig file")
-            _, _, tree, _, index, _, _, _, _, self.packed, _ = struct.unpack(self.order + "HHQQQHHQQIQ", head[4:])
+            _, zooms, tree, _, index, _, _, _, _, self.packed, _ = struct.unpack(self.order + "HHQQQHHQQIQ", head[4:])
             self.index = index
+            #: (bases of a record, data, index) of each zoom level
+            self.zooms = [(level, data, at) for level, _, data, at in (struct.unpack(self.order + "IIQQ", f.read(24)) for _ in range(zooms))]
             f.seek(tree)
             magic, _, key, _, _, _ = struct.unpack(self.order + "IIIIQQ", f.read(32))
             if magic != TREE_MAGIC:
@@ -58,11 +62,12 @@ class File:
             else:
                 self._chroms(f, struct.unpack_from(self.order + "Q", data, k * (key + 8) + key)[0], key)
 
-    def blocks(self) -> list[tuple[int, int, int, int]]:
-        """(first chromosome, last chromosome, offset, size)."""
-        out, todo = [], [self.index + 48]
+    def blocks(self, index: int | None = None) -> list[tuple[int, int, int, int]]:
+        """(first chromosome, last chromosome, offset, size), of the data or of a zoom level's index."""
+        index = self.index if index is None else index
+        out, todo = [], [index + 48]
         with open(self.path, "rb") as f:
-            f.seek(self.index)
+            f.seek(index)
             if struct.unpack(self.order + "I", f.read(4))[0] != INDEX_MAGIC:
                 raise ValueError(f"{self.path} has a damaged index")
             while todo:
@@ -89,6 +94,61 @@ class File:
         return [(chrom, start + k * step, start + k * step + span, v) for k, (v,) in enumerate(struct.iter_unpack(o + "f", data[24 : 24 + 4 * n]))]
 
 
+    def summaries(self, level: int) -> list[tuple]:
+        """(chromosome, start, end, bases, min, max, sum, sum of squares) of a zoom level."""
+        index = next(at for bases, _, at in self.zooms if bases == level)
+        out = []
+        with open(self.path, "rb") as f:
+            for _, _, offset, size in self.blocks(index):
+                f.seek(offset)
+                data = f.read(size)
+                out += struct.iter_unpack(self.order + "IIIIffff", zlib.decompress(data) if self.packed else data)
+        return out
+
+
+class Summaries:
+    """One zoom level of a task's rows: records of the bases they cover, in compressed blocks."""
+
+    def __init__(self, level: int, path: str):
+        self.level, self.path, self.file = level, path, open(path, "wb")  # noqa: SIM115
+        self.open: list | None = None
+        self.rows: list[tuple] = []
+        self.blocks: list[tuple[int, int, int, int, int]] = []
+        self.n = self.at = 0
+
+    def add(self, chrom: int, start: int, end: int, value: float) -> None:
+        while start < end:
+            stop = min(end, (start // self.level + 1) * self.level)
+            n, o = stop - start, self.open
+            if o is None or o[0] != chrom or o[1] // self.level != start // self.level:
+                self._close()
+                self.open = [chrom, start, stop, n, value, value, value * n, value * value * n]
+            else:
+                o[2], o[3], o[4], o[5], o[6], o[7] = stop, o[3] + n, min(o[4], value), max(o[5], value), o[6] + value * n, o[7] + value * value * n
+            start = stop
+
+    def _close(self) -> None:
+        if self.open:
+            if self.rows and (len(self.rows) >= ITEMS or self.rows[0][0] != self.open[0]):
+                self._flush()
+            self.rows.append(tuple(self.open))
+            self.open = None
+
+    def _flush(self) -> None:
+        if self.rows:
+            data = zlib.compress(b"".join(struct.pack("<IIIIffff", *r) for r in self.rows))
+            self.blocks.append((self.rows[0][0], self.rows[0][1], self.rows[-1][2], self.at, len(data)))
+            self.file.write(data)
+            self.n, self.at = self.n + len(self.rows), self.at + len(data)
+            self.rows = []
+
+    def done(self) -> tuple[str, int, list]:
+        self._close()
+        self._flush()
+        self.file.close()
+        return self.path, self.n, self.blocks
+
+
 @dataclass
 class Blocks(InputPartition):
     path: str
@@ -147,6 +207,7 @@ class Part(WriterCommitMessage):
     blocks: list[tuple[int, int, int, int, int]]  # chromosome, start, end, offset, size
     totals: tuple[int, float, float, float, float]  # bases, min, max, sum, sum of squares
     longest: int
+    zooms: list[tuple[str, int, list]]  # by level: part file, records, blocks
 
 
 def _levels(leaves: list[tuple]) -> list[list[list]]:
@@ -174,6 +235,7 @@ class BigWigWriter(DataSourceWriter):
         path = f"{self.parts}/{context.partitionId():06d}-{context.attemptNumber()}"
         blocks, rows, longest, at, now = [], [], 0, 0, None
         n, low, high, total, squares = 0, float("inf"), float("-inf"), 0.0, 0.0
+        zooms = [Summaries(level, f"{path}-z{level}") for level in ZOOMS]
         with open(path, "wb") as f:
 
             def flush():
@@ -196,10 +258,12 @@ class BigWigWriter(DataSourceWriter):
                     raise ValueError("rows must be sorted and disjoint")
                 now = chrom
                 rows.append((start, end, value))
+                for z in zooms:
+                    z.add(chrom, start, end, value)
                 n, low, high = n + end - start, min(low, value), max(high, value)
                 total, squares = total + value * (end - start), squares + value * value * (end - start)
             flush()
-        return Part(context.partitionId(), path, blocks, (n, low, high, total, squares), longest)
+        return Part(context.partitionId(), path, blocks, (n, low, high, total, squares), longest, [z.done() for z in zooms])
 
     def commit(self, messages):
         if os.path.exists(self.path) and not self.overwrite:
@@ -207,7 +271,7 @@ class BigWigWriter(DataSourceWriter):
         done = sorted((m for m in messages if m), key=lambda m: m.partition)
         key = max(len(n.encode()) for n, _ in self.refs)
         with open(f"{self.parts}.bw", "wb") as f:
-            f.write(b"\0" * 64)
+            f.write(b"\0" * (64 + 24 * len(ZOOMS)))
             summary_at = f.tell()
             f.write(b"\0" * 40)
             tree_at = f.tell()
@@ -221,7 +285,18 @@ class BigWigWriter(DataSourceWriter):
                     shutil.copyfileobj(part, f, 2**20)
                 blocks += [(c, s, c, e, base + offset, size) for c, s, e, offset, size in m.blocks]
             index_at = f.tell()
-            self._index(f, blocks, data_at, index_at)
+            self._index(f, blocks, index_at)
+            levels = []
+            for k, level in enumerate(ZOOMS):
+                zoom_at, some = f.tell(), []
+                f.write(struct.pack("<I", sum(m.zooms[k][1] for m in done)))
+                for m in done:
+                    base = f.tell()
+                    with open(m.zooms[k][0], "rb") as part:
+                        shutil.copyfileobj(part, f, 2**20)
+                    some += [(c, s, c, e, base + offset, size) for c, s, e, offset, size in m.zooms[k][2]]
+                levels.append((level, 0, zoom_at, f.tell()))
+                self._index(f, some, f.tell())
             f.write(struct.pack("<I", MAGIC))
             f.seek(data_at)
             f.write(struct.pack("<Q", len(blocks)))
@@ -229,7 +304,8 @@ class BigWigWriter(DataSourceWriter):
             f.seek(summary_at)
             f.write(struct.pack("<Q4d", sum(t[0] for t in full), min((t[1] for t in full), default=0), max((t[2] for t in full), default=0), sum(t[3] for t in full), sum(t[4] for t in full)))
             f.seek(0)
-            f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, tree_at, data_at, index_at, 0, 0, 0, summary_at, max((m.longest for m in done), default=0), 0))
+            f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, len(ZOOMS), tree_at, data_at, index_at, 0, 0, 0, summary_at, max([32 * ITEMS, *(m.longest for m in done)]), 0))
+            f.write(b"".join(struct.pack("<IIQQ", *z) for z in levels))
         os.replace(f"{self.parts}.bw", self.path)
         shutil.rmtree(self.parts, ignore_errors=True)
 
@@ -254,7 +330,7 @@ class BigWigWriter(DataSourceWriter):
                 f.write(data.ljust(node, b"\0"))
             at = below
 
-    def _index(self, f, blocks: list, data_at: int, index_at: int) -> None:
+    def _index(self, f, blocks: list, index_at: int) -> None:
         lo, hi = (blocks[0][:2], max(b[2:4] for b in blocks)) if blocks else ((0, 0), (0, 0))
         f.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, FAN, len(blocks), *lo, *hi, index_at, ITEMS, 0))
         levels = _levels(blocks)

@@ -91,6 +91,18 @@ def test_bigwig_round_trip(spark, tmp_path):
     assert [tuple(r) for r in bigwig.read_chroms(spark, path).orderBy("ref_id").select("chrom", "length").collect()] == [tuple(r) for r in refs.orderBy("ref_id").select("chrom", "length").collect()]
 
 
+def test_bigwig_zoom_levels(spark, tmp_path):
+    refs, rows = fx.track_refs(spark, SF), fx.tracks(spark, SF).filter("track = 0").select("chrom", "start", "end", "value")
+    file = bigwig.File(bigwig.write_bigwig(rows, refs, str(tmp_path / "z.bw")))
+    want = rows.agg(F.sum(F.col("end") - F.col("start")), F.sum(F.col("value").cast("double") * (F.col("end") - F.col("start"))), F.min("value"), F.max("value")).first()
+    assert [z[0] for z in file.zooms] == list(bigwig.ZOOMS)
+    for level in bigwig.ZOOMS:
+        got = file.summaries(level)
+        assert sum(r[3] for r in got) == want[0] and sum(r[6] for r in got) == pytest.approx(want[1], rel=1e-5)
+        assert (min(r[4] for r in got), max(r[5] for r in got)) == (want[2], want[3])
+        assert all(r[1] // level == (r[2] - 1) // level for r in got) and got == sorted(got)
+
+
 def test_bigwig_many_blocks_and_chromosomes(spark, tmp_path):
     refs = spark.range(600).select(F.col("id").cast("int").alias("ref_id"), F.concat(F.lit("c"), F.col("id")).alias("chrom"), F.lit(1000).cast("long").alias("length"))
     rows = refs.crossJoin(spark.range(2)).select("chrom", (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 5).alias("end"), F.col("ref_id").cast("float").alias("value"))
