@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom import reachable
 from readloom.llm import mixing, near_dedup, packing, quality, secrets
-from readloom.llm._tables import written
+from readloom.llm._tables import BROADCAST_ROWS, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,13 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole copy (blocks cut at most one document per source)."""
+    """Each document as often as the mix takes it, to the nearest whole copy (blocks cut at most one document per source).
+
+    Rows that repeat an id are copies of one document. Up to ``BROADCAST_ROWS`` counts travel to the texts; more are joined by shuffle."""
     taken = mixing.mixed(docs).select(F.col("doc_id").alias("_d"), F.greatest(F.round(F.col("taken") / F.nullif("size", F.lit(0))), F.lit(0)).cast("int").alias("_n"))
     taken = written(taken.filter("_n > 0"), "taken").dropDuplicates(["_d"])
+    if taken.count() <= BROADCAST_ROWS:
+        taken = F.broadcast(taken)
     out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")))
     return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
