@@ -169,7 +169,7 @@ def compute_scale_factors(spark: SparkSession, bam_paths: list[str], method: str
     if len(set(names)) != len(names) or len(names) != len(bam_paths):
         raise ValueError("every file needs a sample name of its own")
     bam.validate(bam_paths)
-    matrix = None
+    matrix = held = None
     if method == "spike-in":
         if not exogenous_prefix:
             raise ValueError("spike-in needs an exogenous prefix")
@@ -183,7 +183,7 @@ def compute_scale_factors(spark: SparkSession, bam_paths: list[str], method: str
             raise ValueError("the files have different chromosomes")
         reads, refs, spec = bam.read_bam(spark, bam_paths, names), bam.read_refs(spark, bam_paths[0]), read_filter or LIBRARY
         require_paired(reads, spec)
-        counts = cov.count_matrix(reads, refs, bin_size, spec, use_fragment, ignore_scaffold_chromosomes)
+        counts = held = cov.count_matrix(reads, refs, bin_size, spec, use_fragment, ignore_scaffold_chromosomes).persist()  # estimators read it many times
         options = {"tmm": {"reference": reference_sample, "logratio_trim": logratio_trim, "sum_trim": sum_trim}}
         options["csaw-background"] = options["tmm"] | {"exclude_top_percent": exclude_top_percent}
         rows = run(counts, cov.library_sizes(reads, spec), **options.get(method, {}))
@@ -193,6 +193,8 @@ def compute_scale_factors(spark: SparkSession, bam_paths: list[str], method: str
         if return_counts:
             matrix = np.array([[r[n] for n in names] for r in table.orderBy("chrom", "start").collect()], "int64").reshape(-1, len(names))
     by = {r["sample"]: r for r in rows.collect()}
+    if held is not None:
+        held.unpersist()
     pick = lambda k: [by[n][k] for n in names]
     return ScaleFactorResult(method, names, pick("scale_factor"), pick("norm_factor"), pick("library_size"), by[names[0]]["n_bins_total"], by[names[0]]["n_bins_used"], reference_sample, matrix)
 
