@@ -12,7 +12,7 @@ Counting is pre-aggregated before its shuffle, so a line in a third of all docum
 
 Edge cases: null and empty texts have no words or lines and fail the base rules; null hosts form a host of their own;
 equal rows get equal verdicts, one output row per input row; columns of other names are ignored or, in ``filtered``,
-returned unchanged. Line hashes are 64-bit.
+returned unchanged (``n_chars`` is renewed). Blank lines stay. Line hashes are 64-bit.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import documents, held, let, matched, written
+from ._tables import BROADCAST_ROWS, documents, held, let, matched, written
 
 BLANK = r"[ \t-\r]+"
 WINDOW = 5
@@ -79,17 +79,28 @@ def measured(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
     )
 
 
-def judged(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 50, min_share: float = 0.2, min_chars: int = 40) -> DataFrame:
-    """One row per document: counts, ``base_failed``, ``removed_chars``, ``line_chars``, ``depleted`` and ``kept``."""
-    rows = written(measured(docs, host, text), "quality")
+def _frequent(rows: DataFrame, max_docs: int) -> DataFrame:
+    """Every place of a line in more than ``max_docs`` texts of its host: the row, the line, its characters and the line's first holder."""
     line = F.col("line")
     each = rows.select("doc_id", "key", "host", F.explode("lines").alias("line")).select("doc_id", "key", "host", line["line"].alias("line"), line["chars"].alias("chars"))
     # texts per host and line: first one row per text (copies count once), then counts and the first holder
-    texts = each.groupBy("host", "line", "key").agg(F.min("doc_id").alias("first"))
-    often = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("first", "key")).alias("holder")).filter(F.col("n") > max_docs)
+    often = _holders(each).filter(F.col("n") > max_docs)
     hit = each.alias("e").join(often.alias("o"), F.col("e.host").eqNullSafe(F.col("o.host")) & (F.col("e.line") == F.col("o.line")))
-    hit = hit.filter(~(F.col("e.key").eqNullSafe(F.col("o.holder.key")) & F.col("e.doc_id").eqNullSafe(F.col("o.holder.first"))))
-    lost = hit.groupBy(F.col("e.doc_id").alias("_d"), F.col("e.key").alias("_k"), F.col("e.host").alias("_h")).agg(F.sum("e.chars").alias("hits"), F.count("*").alias("n_hits"))
+    return hit.select("e.*", "o.holder")
+
+
+def _holders(each: DataFrame) -> DataFrame:
+    """Per host and line: its texts and their first holder."""
+    texts = each.groupBy("host", "line", "key").agg(F.min("doc_id").alias("first"))
+    return texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("first", "key")).alias("holder"))
+
+
+def _beyond(hit: DataFrame) -> DataFrame:
+    return hit.filter(~(F.col("key").eqNullSafe(F.col("holder.key")) & F.col("doc_id").eqNullSafe(F.col("holder.first"))))
+
+
+def _verdicts(rows: DataFrame, hit: DataFrame, min_share: float, min_chars: int) -> DataFrame:
+    lost = _beyond(hit).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("host").alias("_h")).agg(F.sum("chars").alias("hits"))
     # equal rows (same id, text and host) share the lines, so their sums are of as many rows
     same = rows.groupBy("doc_id", "key", "host").agg(F.count("*").alias("copies"))
     lost = lost.join(same, lost["_d"].eqNullSafe(same["doc_id"]) & (lost["_k"] == same["key"]) & lost["_h"].eqNullSafe(same["host"]))
@@ -104,10 +115,36 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", max_docs:
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def filtered(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` without the rejected documents."""
-    rejected = written(judged(docs, **limits).filter(~F.col("kept")).select("doc_id", F.col("key").alias("_key")), "rejected")
-    return matched(docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))), rejected, ["doc_id", "_key"], "left_anti").select(*docs.columns)
+def judged(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 50, min_share: float = 0.2, min_chars: int = 40) -> DataFrame:
+    """One row per document: counts, ``base_failed``, ``removed_chars``, ``line_chars``, ``depleted`` and ``kept``."""
+    rows = written(measured(docs, host, text), "quality")
+    return _verdicts(rows, _frequent(rows, max_docs), min_share, min_chars)
+
+
+def filtered(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 50, min_share: float = 0.2, min_chars: int = 40) -> DataFrame:
+    """The kept documents, their texts without the lines above the limit and ``n_chars`` renewed where lines went.
+
+    A frequent line stays in its first holder among the kept documents: where the first of all is itself rejected, the next keeps it."""
+    rows = written(measured(docs, host, text), "quality")
+    hit = written(_frequent(rows, max_docs), "frequent")
+    row = ["doc_id", "key", "host"]
+    rejected = written(_verdicts(rows, hit, min_share, min_chars).filter(~F.col("kept")).select(*row), "rejected")
+    here = matched(hit.drop("holder"), rejected, row, "left_anti")
+    holders = _holders(here).select(F.col("host").alias("_h"), F.col("line").alias("_l"), "holder")
+    lines = _beyond(here.join(holders, here["host"].eqNullSafe(holders["_h"]) & (here["line"] == holders["_l"])))
+    cuts = lines.groupBy(*row).agg(F.collect_set("line").alias("_cut"))
+    none = F.lit(None).cast("array<bigint>")
+    changed = written(cuts.unionByName(rejected.distinct().withColumn("_cut", none)), "changed").withColumnsRenamed({c: f"_c_{c}" for c in row})
+    # up to so many rows and line hashes travel to the texts, more are joined by shuffle
+    if (changed.agg(F.sum(1 + F.coalesce(F.size("_cut"), F.lit(0)))).first()[0] or 0) <= BROADCAST_ROWS:
+        changed = F.broadcast(changed)
+    out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    out = out.join(changed, out["doc_id"].eqNullSafe(F.col("_c_doc_id")) & (F.col("_key") == F.col("_c_key")) & out[host].eqNullSafe(F.col("_c_host")), "left")
+    out = out.filter(F.col("_c_key").isNull() | F.col("_cut").isNotNull())
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_cut", F.xxhash64(_normal(x)))), "\n")
+    out = held(out, _t=F.when(F.col("_cut").isNotNull(), rest).otherwise(F.col(text)))
+    renewed = {text: F.col("_t"), "n_chars": F.when(F.col("_cut").isNotNull(), F.length("_t").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[renewed[c].alias(c) if renewed.get(c) is not None else F.col(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -284,6 +284,23 @@ def test_line_frequency(spark):
     assert sorted(x["doc_id"] for x in quality.filtered(docs, max_docs=5).collect()) == [*range(8), 200] if got[200]["kept"] else [*range(8)]
 
 
+def test_filtered_texts_lose_their_frequent_lines(spark):
+    r = random.Random(4)
+    prose = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(20))
+    common, other = " ".join(f"c{k}" for k in range(15)), " ".join(f"o{k}" for k in range(12))
+    own = {k: (prose(), prose()) for k in range(1, 10)}
+    # the first holder of the other line is rejected: the next one keeps it
+    rows = [(0, f"{other}\n" + "z y x w v " * 30, "h", 7)] + [(k, f"{own[k][0]}\n\n  {common.upper()}\t\r\n{own[k][1]}\n{other}\n{common}\n", "h", 7) for k in range(1, 9)]
+    rows += [(9, f"{common}\n{own[9][0]}", "elsewhere", 7), (3, rows[3][1], "h", 7), (None, None, "h", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    verdict = {x["doc_id"]: x for x in quality.judged(docs, max_docs=5).collect()}
+    got = sorted(tuple(x) for x in quality.filtered(docs, max_docs=5).collect())
+    bare = {k: f"{own[k][0]}\n\n{own[k][1]}\n" for k in range(2, 9)}
+    want = [(1, rows[1][1], "h", 7)] + [(k, bare[k], "h", len(bare[k])) for k in (2, 3, 3, *range(4, 9))] + [(9, rows[9][1], "elsewhere", 7)]
+    assert verdict[0]["base_failed"] and got == want
+    assert all(sum(map(len, rows[k][1].split("\n"))) - sum(map(len, bare[k].split("\n"))) == verdict[k]["removed_chars"] for k in bare)
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
