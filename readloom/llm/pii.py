@@ -1,9 +1,9 @@
 """Personal data by a semi-Markov conditional random field over candidate segments.
 
 Method. A segment is a whole span with a type; its features (shape, digit counts, checksum, words before it) are of the span
-at once. Base patterns and looser shapes propose segments of at most ``MAX_TOKENS`` tokens; tokens without a digit or
-``@`` nearby can only be outside, so the dynamic program runs over the stretches around them, which loses nothing. It
-chooses boundaries and types jointly: best score over segmentations whose entities have bounded length. Weights are
+at once. Base patterns and looser shapes propose segments of at most ``MAX_TOKENS`` tokens; each shape needs a digit,
+``@`` or a spelt-out ``(at)`` or ``[at]``, so the dynamic program runs over the stretches of ``MARGIN`` characters around
+those and ``[dot]``, which loses only segments that reach farther from all of them. It chooses boundaries and types jointly: best score over segmentations whose entities have bounded length. Weights are
 trained here, by gradient ascent on the conditional likelihood (forward-backward over the same segments) of sentences
 that a seeded generator labels; their number is the documented bound ``TRAIN``.
 
@@ -39,7 +39,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[A-Za-zÀ-ÿ]+|[0-9]+|\S")
-TRIGGER = re.compile(r"[0-9@]+")
+DIGIT = re.compile(r"[0-9]")
+TRIGGER = re.compile(r"[0-9@]+|\(at\)|\[at\]|\[dot\]")
+AT = ("(at)", "[at]")
 #: What a segment of a type can look like at all.
 SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+\x20?(@|\(at\)|\[at\])\x20?[A-Za-z0-9-]+((\.|\x20?\[dot\]\x20?)[A-Za-z0-9-]+)+"),
@@ -78,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((lo, m.end(), "email"))
             done = m.end()
         at = text.find("@", max(at + 1, done))
-    if not TRIGGER.search(text):
+    if not DIGIT.search(text):
         return out
     for m in IP.finditer(text) if text.count(".") >= 3 else ():
         if all(len(x) <= 3 and int(x) <= 255 for x in (p.lstrip("0") or "0" for p in m[0].split("."))):
@@ -94,7 +96,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # the model -------------------------------------------------------------------------------------------------------------
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around digits and ``@``, cut at white space, outside of which no segment can lie."""
+    """Parts of the text around triggers, ``MARGIN`` characters to both sides."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
@@ -111,7 +113,10 @@ def features(kind: str, span: str, before: tuple[str, ...]) -> list[str]:
     out = [kind, f"{kind}:n{min(len(d), 20)}", f"{kind}:cue" if kind in cues else f"{kind}:nocue"]
     if "none" in cues or any(c not in (None, kind, "none") for c in cues):
         out.append(f"{kind}:other")
-    if kind == "card":
+    if kind == "email":
+        labels = re.split(r"\.|\x20?\[dot\]\x20?", re.split(r"@|\(at\)|\[at\]", span)[1])
+        out += [f"email:labels{min(len(labels), 4)}", f"email:top{labels[-1].isalpha() and 2 <= len(labels[-1]) <= 4}"]
+    elif kind == "card":
         out.append(f"card:luhn{luhn(d)}")
     elif kind == "ip":
         out.append(f"ip:{all(int(p) <= 255 for p in span.split('.'))}")
@@ -137,13 +142,13 @@ def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str,
         head = text[start]
         joined = i and tokens[i - 1][1] == start and text[start - 1].isalnum() and head.isalnum()
         if (head.isalnum() or head in "+(._%-") and not joined:
-            digits = False
+            marked = False
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
                 a, b = tokens[j - 1]
                 if j > i + 1 and a - tokens[j - 2][1] > 1:
                     break
-                digits |= text[a].isdigit() or text[a] == "@"
-                if not digits or (j < len(tokens) and tokens[j][0] == b and text[b].isalnum() and text[b - 1].isalnum()):
+                marked |= text[a].isdigit() or text[a] == "@" or (text[a] in ")]" and text[max(0, a - 3) : b] in AT)
+                if not marked or (j < len(tokens) and tokens[j][0] == b and text[b].isalnum() and text[b - 1].isalnum()):
                     continue
                 span = text[start:b]
                 for kind, shape in SHAPES.items():
@@ -207,8 +212,14 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         check = 98 - int("".join(str(int(c, 36)) for c in body + code + "00")) % 97
         return f"{code}{check:02d}{body}"
 
+    def email():
+        local = word() + r.choice([".", "_", ""]) + r.choice([num(2), word(), ""])
+        dot = r.choice([".", ".", "[dot]", " [dot] "])
+        labels = [word() for _ in range(r.choice([1, 1, 2]))] + [r.choice(["com", "org", "net", "de"])]
+        return local.rstrip("._") + r.choice(["@", "@", "[at]", " [at] ", "(at)", " (at) "]) + dot.join(labels)
+
     make = {
-        "email": lambda: f"{word()}{r.choice(['.', '_', ''])}{num(2)}{r.choice(['@', ' [at] '])}{word()}.{r.choice(['com', 'org', 'net'])}",
+        "email": email,
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: r.choice([f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}"]),

@@ -332,6 +332,22 @@ def test_pii_base_on_random_texts_and_held_out_accuracy():
     assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.97
 
 
+def test_spelt_out_emails_without_digits_are_found():
+    weights = dict(pii.trained())
+    for value in ("jane.doe [at] example.org", "info (at) firm [dot] com", "jane[at]mail.example[dot]org", "ann_b(at)host.net"):
+        for text in (value, f"write to {value}, or wait", f"call +1 (555) 010-9999 or mail {value}. Then wait", f"{'la der ' * 40}{value} {'on re ' * 40}"):
+            _, added = pii.spans_of(text, weights)
+            assert (text.index(value), text.index(value) + len(value), "email") in added, text
+    for text in ("we meet (at) noon", "a list [at] the end. And so on", "x [dot] y", "(at) [at] [dot]"):
+        assert pii.spans_of(text, weights) == ([], [])
+    hit = missed = wrong = 0
+    for text, spans in pii.labelled(2000, 77):
+        bare = {(a, b, k) for a, b, k in spans if k == "email" and not any(c.isdigit() or c == "@" for c in text[a:b])}
+        found = {x for x in pii.spans_of(text, weights)[1] if not any(c.isdigit() or c == "@" for c in text[x[0] : x[1]])}
+        hit, missed, wrong = hit + len(bare & found), missed + len(bare - found), wrong + len(found - bare)
+    assert hit > 150 and hit / (hit + missed) > 0.97 and hit / (hit + wrong) > 0.97
+
+
 def test_pii_decoding_is_the_best_segmentation():
     weights = dict(pii.trained())
     for text, _ in pii.labelled(40, 5):
