@@ -2,8 +2,8 @@
 
 Method. Every text is searched for assignments, access ids and long hex runs (base kinds) and for further high-entropy
 tokens. Candidate values are hashed and counted over the corpus by distinct owners and by distinct repositories per
-owner; both counts are sums of pre-aggregated rows. A value that ``min_owners`` owners hold is a widely copied example;
-any other is an owner-specific, live-looking credential. Live high-entropy tokens join the spans; base spans stay whatever
+owner; both counts are sums of pre-aggregated rows. A value that ``min_owners`` owners or ``min_repositories``
+repositories hold is a widely copied example; any other is an owner-specific, live-looking credential. Live high-entropy tokens join the spans; base spans stay whatever
 their verdict. Masking replaces live spans.
 
 Edge cases: null texts are empty; a null owner or repository counts as one of its own; equal rows get equal results,
@@ -78,7 +78,7 @@ def found(docs: DataFrame, owner: str = "source", repository: str = "doc_id", te
     return named.mapInArrow(rows, "doc_id long, key long, owner string, repository string, spans array<struct<start: int, kind: int, end: int, value: bigint>>")
 
 
-def scanned(docs: DataFrame, min_owners: int = 5, owner: str = "source", repository: str = "doc_id", text: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, min_owners: int = 5, min_repositories: int = 1000, owner: str = "source", repository: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (doc_id, key, spans) with each span's kind, owners, repositories and ``live``."""
     rows = written(found(docs, owner, repository, text), "secrets")
     some = rows.filter(F.size("spans") > 0)
@@ -86,7 +86,7 @@ def scanned(docs: DataFrame, min_owners: int = 5, owner: str = "source", reposit
     per_repository = each.groupBy("s.value", "owner", "repository").agg(F.lit(1).alias("one"))
     per_owner = per_repository.groupBy("value", "owner").agg(F.count("*").alias("repositories"))
     values = per_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = each.join(values, F.col("s.value") == F.col("value")).select("doc_id", "key", F.struct("s.start", "s.kind", "s.end", "owners", "repositories", (F.col("owners") < min_owners).alias("live")).alias("span"))
+    judged = each.join(values, F.col("s.value") == F.col("value")).select("doc_id", "key", F.struct("s.start", "s.kind", "s.end", "owners", "repositories", ((F.col("owners") < min_owners) & (F.col("repositories") < min_repositories)).alias("live")).alias("span"))
     judged = judged.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.array_sort(F.collect_set("span")).alias("spans"))
     with_spans = some.select("doc_id", "key").join(judged, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc_id", "key", "spans")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,owners:bigint,repositories:bigint,live:boolean>>")

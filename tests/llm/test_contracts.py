@@ -181,6 +181,14 @@ def test_secrets_widely_copied_are_examples_and_live_ones_are_masked(spark):
     assert [s["live"] for s in secrets.scanned(one).first()["spans"]] == [True]
 
 
+def test_values_in_many_repositories_of_one_owner_are_examples(spark):
+    rows = [(k, f"{k} token=" + "e" * 12, "hot") for k in range(20)] + [(k, f"{k} token=" + "f" * 12, "hot") for k in range(20, 39)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: [(s["owners"], s["repositories"], s["live"]) for s in r["spans"]] for r in secrets.scanned(docs, min_repositories=20).collect()}
+    assert all(got[k] == [(1, 20, False)] for k in range(20)) and all(got[k] == [(1, 19, True)] for k in range(20, 39))
+    assert all(s["live"] for r in secrets.scanned(docs).collect() for s in r["spans"])
+
+
 def tokens_of(text):
     from tokenizers import Tokenizer
 
