@@ -124,10 +124,10 @@ def split_exogenous(spark: SparkSession, path: str, output: str, exogenous_prefi
     return row
 
 
-def infer_scale(spark: SparkSession, path: str, min_stable_streak: int = 0, max_starts: int = 512) -> dict:
-    """0 as the streak scans everything."""
+def infer_scale(spark: SparkSession, path: str, min_stable_streak: int = 0, max_starts: int = 0) -> dict:
+    """0 as the streak scans everything; 0 as the number of starts uses all."""
     rows = bigwig.read_bigwig(spark, path)
-    return infer.infer_scale(rows, bigwig.read_chroms(spark, path), min_stable_streak or None, max_starts).first().asDict()
+    return infer.infer_scale(rows, bigwig.read_chroms(spark, path), min_stable_streak or None, max_starts or None).first().asDict()
 
 
 def get_signal_for_chromosome(spark: SparkSession, bam_path: str, chromosome_name: str, bin_size: int = 50, scale_factor: float = 1.0, use_fragment: bool = False, ignore_scaffold_chromosomes: bool = True, read_filter: ReadFilter | None = None) -> np.ndarray:

@@ -98,7 +98,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=("table", "tsv", "json"), default="table")
     p.add_argument("-o", "--output")
     p.add_argument("--min-stable-streak", type=int, default=0, help="0 (the default) scans everything")
-    p.add_argument("--max-starts", type=int, default=512)
+    p.add_argument("--max-starts", type=int, default=0, help="0 (the default) uses all starts")
     p = command("bam-normalize", "norm-factors")
     p.add_argument("--bams", nargs="+", action="extend")
     p.add_argument("--sample-sheet")

@@ -278,6 +278,14 @@ def test_late_minimum(spark):
     assert infer.minima(t, 3).first()["starts"] == [10, 20, 30]
 
 
+def test_late_unaligned_start(spark):
+    t = signal(spark, [(c, k * 10 + (3 if k == 700 else 0), k * 10 + 10, 1.0 + k % 2) for c in "cd" for k in range(1, 801)], "value").repartition(3)
+    assert infer.common_bin_size(infer.minima(t)).first()[0] == 1
+    assert infer.common_bin_size(infer.minima(t, 512)).first()[0] == 10
+    assert infer.common_bin_size(infer.minima(t.filter("start % 10 = 0"))).first()[0] == 10
+    assert infer.common_bin_size(infer.minima(t.limit(0))).first()[0] == 0
+
+
 def test_split_precedence_and_stats(spark):
     r = reads(spark, {"flag": 4 | 512}, {"flag": 512 | 1024}, {"flag": 1024 | 256}, {"flag": 256}, {"flag": 1}, {}, {"chrom": "x1", "ref_id": 1}, {"chrom": "x1", "ref_id": 1, "pos": 7})
     classes = split.classified(r, "x")
