@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, whole rows; of rows that repeat an id and text, one."""
+    """One document of each group, whole rows. Rows that repeat its id all stay; where a dropped id bears several texts, all go."""
     dropped = written(near_duplicates(docs, **options).filter(~F.col("kept")).select("doc_id"), "dropped")
     kept = matched(docs, dropped, ["doc_id"], "left_anti")
     return kept
