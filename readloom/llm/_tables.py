@@ -22,9 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it. Only a session without one (tests) gets a temporary folder."""
+    """The folder all executors share, as the session names it. A local session without one (tests) gets a temporary folder, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.readloom.scratch", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.readloom.scratch", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor costs only the tasks it ran."""
-    spark = df.sparkSession
+    spark = reachable(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
     df.write.parquet(path)
@@ -64,8 +66,9 @@ def held(df: DataFrame, **columns) -> DataFrame:
     anew for every word of it. A one-element generator is a barrier to that.
     """
     value = F.struct(*[c.alias(k) for k, c in columns.items()])
-    out = df.select(*[c for c in df.columns if c not in columns], F.explode(F.array(value)).alias("_held"))
-    return out.select(*[c for c in out.columns if c != "_held"], *[F.col("_held")[k].alias(k) for k in columns])
+    (name,) = unused([*df.columns, *columns], "held")
+    out = df.select(*[c for c in df.columns if c not in columns], F.explode(F.array(value)).alias(name))
+    return out.select(*[c for c in out.columns if c != name], *[F.col(name)[k].alias(k) for k in columns])
 
 
 def let(value, body):
@@ -73,12 +76,27 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-BROADCAST_ROWS = 1_000_000
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column bears them (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def matched(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Semi or anti join with narrow ``keys`` (null-safe). They are counted: up to ``BROADCAST_ROWS`` of them travel to the rows, more are joined by shuffle."""
-    keys = keys.select(*[F.col(c).alias(f"_k_{c}") for c in on]).distinct()
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return df.join(keys, [df[c].eqNullSafe(keys[f"_k_{c}"]) for c in on], how)
+    """Semi, anti or left join with narrow ``keys`` (null-safe), whose other columns come with them.
+
+    The plan is the same at every size: both sides are dealt by the key, and each task holds its part of the keys in a
+    hash table while the wide rows stream past, unsorted. Nothing that grows with the input is broadcast."""
+    names = unused(df.columns, *[f"_k_{c}" for c in on])
+    keys = keys.withColumnsRenamed(dict(zip(on, names, strict=True)))
+    if how != "left":
+        keys = keys.select(*names).distinct()
+    same = [df[c].eqNullSafe(keys[k]) for c, k in zip(on, names, strict=True)]
+    out = df.join(keys.hint("shuffle_hash"), same, how)
+    return out.drop(*names) if how == "left" else out

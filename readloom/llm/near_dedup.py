@@ -14,7 +14,8 @@ candidates. Sets are computed for the documents that share a bucket only, and sh
 
 Edge cases: null and empty texts have empty sets and are linked with nothing; fewer words than a shingle count as one
 shingle of the whole sequence; rows without an id are linked with nothing, their component is null and they are kept;
-repeated rows are copies of one document; equal ids with different texts are one node; extra columns are ignored.
+repeated rows are copies of one document; equal ids with different texts are one node, whose set is that of the text
+with the smallest hash; extra columns, whatever their names, are ignored or returned unchanged.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import checkpointed, documents, matched, written
+from ._tables import checkpointed, documents, matched, unused, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 32, 4, 20240229
 #: Rounds go on while at least one in so many comparisons links; shingles (and 1000 a text) in a block.
 USEFUL, BLOCK = 4, 1_500_000
+#: Parts that the edges of one node are dealt to.
+SALTS = 8
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], "uint64")
 
 
@@ -89,9 +92,13 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, seed: int) -> Da
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 counts.append(len(items))
                 buckets.append(band_keys(signature(items, a, b), bands) if len(items) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "key", "n_shingles", "buckets", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, key binary, n_shingles long, buckets array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), "text", _text_key().alias("text_key")).mapInArrow(sketch, "doc_id long, key binary, n_shingles long, buckets array<bigint>, text_key long")
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def full_sets(docs: DataFrame, size: int, bands: int, rows: int, seed: int) -> DataFrame:
@@ -122,16 +129,20 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.filter(F.when(likely, linked).otherwise(False)).select("u", "v")
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): each edge with the least neighbour of ``u``. A node's edges are dealt to ``SALTS`` tasks, as one node can have a third of all."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "part"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (u, v); component is the smallest id reachable."""
     edges = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = checkpointed(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == state:
@@ -222,15 +233,23 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row per document: ``n_shingles``, ``component_id``, ``kept``."""
+    return labelled(docs, size, threshold, bands, rows, seed).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def labelled(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """``near_duplicates`` with each row's ``text_key``, the node ``id`` it belongs to, and whether its text stands for that id."""
     base = written(sketches(docs, size, bands, rows, seed), "sketches")
     some = base.filter("doc_id is not null and n_shingles > 0")
-    nodes = written(some.groupBy("key").agg(F.min("doc_id").alias("id")), "nodes")
-    reps = some.join(nodes, (some["key"] == nodes["key"]) & (some["doc_id"] == nodes["id"]), "left_semi")
+    nodes = some.groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("key", F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("first_text"))
+    nodes = written(nodes.withColumn("stands", F.col("key") == F.min("key").over(Window.partitionBy("id"))), "nodes")
+    first = nodes.filter("stands")
+    reps = some.join(first, (some["key"] == first["key"]) & (some["doc_id"] == first["id"]), "left_semi")
     each = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("buckets").alias("band", "bucket"))
     shared = each.groupBy("band", "bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("band", "bucket")
     members = written(each.join(shared, ["band", "bucket"]).dropDuplicates(["band", "bucket", "id"]), "members")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = written(matched(wanted, members.select("id"), ["id"], "left_semi").transform(lambda d: full_sets(d, size, bands, rows, seed)).dropDuplicates(["id"]), "sets")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text", _text_key().alias("first_text"))
+    wanted = matched(wanted, members.select("id").distinct().join(first, "id"), ["id", "first_text"], "left_semi").drop("first_text")
+    sets = written(full_sets(wanted, size, bands, rows, seed).dropDuplicates(["id"]), "sets")  # rows that repeat have equal sets
 
     links, tested, labels, turn, found_all, useful = None, None, None, 0, False, None
     while True:
@@ -258,20 +277,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         found = checkpointed(block_links(here, sets, threshold, bands))
         if not found.isEmpty():
             labels = checkpointed(components(found if links is None else links.unionByName(found)))
-    out = base.select("doc_id", "n_shingles", "key").join(nodes.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    of = nodes.drop("first_text").withColumnRenamed("key", "_k")
+    out = base.select("doc_id", "n_shingles", "key", "text_key").join(of, (F.col("key") == F.col("_k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     if labels is not None:
         out = out.join(labels, "id", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"), "text_key", "id", "stands")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, whole rows. Rows that repeat its id all stay; where a dropped id bears several texts, all go."""
-    dropped = written(near_duplicates(docs, **options).filter(~F.col("kept")).select("doc_id"), "dropped")
-    kept = matched(docs, dropped, ["doc_id"], "left_anti")
-    return kept
+    """One document of each group, whole rows: that with the smallest id; of rows that repeat an id and text, one.
+
+    Rows without an id, and those without words, are linked with nothing: all stay. Where an id bears several texts, a text
+    that is not compared for it (``stands``) goes only as an exact copy. What becomes of a row is a narrow table of ids and
+    text keys, which meets the texts in one join; only rows that repeat are then brought together."""
+    named = labelled(docs, **options).filter("doc_id is not null and n_shingles > 0")
+    gone = ~F.col("kept") & ((F.col("id") != F.col("doc_id")) | F.col("stands"))
+    fate = named.groupBy("doc_id", "text_key").agg(F.max(gone).alias("gone"), (F.count("*") > 1).alias("again"))
+    fate = written(fate.filter("gone or again"), "fate")
+    key, gone, again, number = unused(docs.columns, "text_key", "gone", "again", "number")
+    fate = fate.withColumnsRenamed({"text_key": key, "gone": gone, "again": again})
+    out = matched(docs.withColumns({key: _text_key(), number: F.col("doc_id").cast("long")}), fate.withColumnRenamed("doc_id", number), [number, key], "left")
+    out = out.filter(~F.coalesce(F.col(gone), F.lit(False)))
+    once = out.filter(F.col(again)).groupBy(number, key).agg(*[F.first(c).alias(c) for c in docs.columns])
+    return out.filter(~F.coalesce(F.col(again), F.lit(False))).select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules: per-text rules plus cross-document line frequency.
 
 Method. Lines are normalised (outer and repeated blanks removed, lower case), hashed and counted in distinct documents
-(distinct texts) per host. A line in more than ``max_docs`` texts of its host is boilerplate: it is removed from every
+(ids) per host. A line in more than ``max_docs`` documents of its host is boilerplate: it is removed from every
 document but the first that holds it (smallest id), so one witness of any passage survives. A document that keeps less
 than ``min_share`` of the characters of its lines, or fewer than ``min_chars`` where it lost any, is depleted and
 rejected. The base rules reject texts of fewer than 10 words, or with more than a fifth of the words in repeated
@@ -11,8 +11,8 @@ One pass over the texts writes counts and line hashes as a narrow table in the s
 Counting is pre-aggregated before its shuffle, so a line in a third of all documents is as cheap as any other.
 
 Edge cases: null and empty texts have no words or lines and fail the base rules; null hosts form a host of their own;
-equal rows get equal verdicts, one output row per input row; columns of other names are ignored or, in ``filtered``,
-returned unchanged (``n_chars`` is renewed). Blank lines stay. Line hashes are 64-bit.
+rows without an id are one document per text; equal rows get equal verdicts, one output row per input row; columns of
+other names, whatever they are, are ignored or, in ``filtered``, returned unchanged (``n_chars`` is renewed). Blank lines stay. Line hashes are 64-bit.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import BROADCAST_ROWS, documents, held, let, matched, written
+from ._tables import documents, held, let, matched, unused, written
 
 BLANK = r"[ \t-\r]+"
 WINDOW = 5
@@ -56,7 +56,7 @@ def _normal(line: Column) -> Column:
 
 
 def measured(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The narrow table: id, row key, host, counts and distinct line hashes with their characters."""
+    """The narrow table: id, row key, host, counts and the hash and characters of every line."""
     plain = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     out = docs.select("doc_id", F.col(host).alias("host"), plain.alias("_t"))
@@ -64,35 +64,30 @@ def measured(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
     out = held(out, _h=_windows(F.col("_w")))
     normal = F.transform("_l", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.length(x).alias("chars")))
 
-    def merged(x: Column) -> Column:  # equal lines of one text: once, with the characters of all
-        ids = F.array_distinct(F.transform(x, lambda y: y["line"]))
-        simple = F.size(ids) == F.size(x)
-        summed = F.transform(ids, lambda k: F.struct(k.alias("line"), F.aggregate(F.filter(x, lambda y: y["line"] == k), F.lit(0), lambda a, y: a + y["chars"]).alias("chars")))
-        return F.when(simple, x).otherwise(summed)
-
     return out.select(
         "doc_id", F.xxhash64("_t").alias("key"), "host",
         F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("_h")).alias("n_repeat_words"), let(normal, merged).alias("lines"),
+        _repeated(F.col("_h")).alias("n_repeat_words"), normal.alias("lines"),
     )
 
 
 def _frequent(rows: DataFrame, max_docs: int) -> DataFrame:
-    """Every place of a line in more than ``max_docs`` texts of its host: the row, the line, its characters and the line's first holder."""
+    """Every place of a line in more than ``max_docs`` documents of its host: the row, the line, its characters and the line's first holder."""
     line = F.col("line")
     each = rows.select("doc_id", "key", "host", F.explode("lines").alias("line")).select("doc_id", "key", "host", line["line"].alias("line"), line["chars"].alias("chars"))
-    # texts per host and line: first one row per text (copies count once), then counts and the first holder
     often = _holders(each).filter(F.col("n") > max_docs)
     hit = each.alias("e").join(often.alias("o"), F.col("e.host").eqNullSafe(F.col("o.host")) & (F.col("e.line") == F.col("o.line")))
     return hit.select("e.*", "o.holder")
 
 
 def _holders(each: DataFrame) -> DataFrame:
-    """Per host and line: its texts and their first holder."""
-    texts = each.groupBy("host", "line", "key").agg(F.min("doc_id").alias("first"))
-    return texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("first", "key")).alias("holder"))
+    """Per host and line: its documents and the first holder. Rows that repeat an id are one document, so ids are made
+    distinct first; the counts are then sums of what each task has counted."""
+    nameless = F.when(F.col("doc_id").isNull(), F.col("key"))
+    documents = each.groupBy("host", "line", "doc_id", nameless.alias("nameless")).agg(F.min("key").alias("key"))
+    return documents.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").alias("first"), "key")).alias("holder"))
 
 
 def _beyond(hit: DataFrame) -> DataFrame:
@@ -124,7 +119,8 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", max_docs:
 def filtered(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 50, min_share: float = 0.2, min_chars: int = 40) -> DataFrame:
     """The kept documents, their texts without the lines above the limit and ``n_chars`` renewed where lines went.
 
-    A frequent line stays in its first holder among the kept documents: where the first of all is itself rejected, the next keeps it."""
+    A frequent line stays in its first holder among the kept documents: where the first of all is itself rejected, the next
+    keeps it. Verdicts and lines to cut are a narrow table, which meets the texts in one join dealt by id, text and host."""
     rows = written(measured(docs, host, text), "quality")
     hit = written(_frequent(rows, max_docs), "frequent")
     row = ["doc_id", "key", "host"]
@@ -132,19 +128,19 @@ def filtered(docs: DataFrame, host: str = "source", text: str = "text", max_docs
     here = matched(hit.drop("holder"), rejected, row, "left_anti")
     holders = _holders(here).select(F.col("host").alias("_h"), F.col("line").alias("_l"), "holder")
     lines = _beyond(here.join(holders, here["host"].eqNullSafe(holders["_h"]) & (here["line"] == holders["_l"])))
-    cuts = lines.groupBy(*row).agg(F.collect_set("line").alias("_cut"))
+    cuts = lines.groupBy(*row).agg(F.collect_set("line").alias("cut"))
+    key, at, cut, done, new = unused(docs.columns, "key", "host", "cut", "rejected", "new")
     none = F.lit(None).cast("array<bigint>")
-    changed = written(cuts.unionByName(rejected.distinct().withColumn("_cut", none)), "changed").withColumnsRenamed({c: f"_c_{c}" for c in row})
-    # up to so many rows and line hashes travel to the texts, more are joined by shuffle
-    if (changed.agg(F.sum(1 + F.coalesce(F.size("_cut"), F.lit(0)))).first()[0] or 0) <= BROADCAST_ROWS:
-        changed = F.broadcast(changed)
-    out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    out = out.join(changed, out["doc_id"].eqNullSafe(F.col("_c_doc_id")) & (F.col("_key") == F.col("_c_key")) & out[host].eqNullSafe(F.col("_c_host")), "left")
-    out = out.filter(F.col("_c_key").isNull() | F.col("_cut").isNotNull())
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_cut", F.xxhash64(_normal(x)))), "\n")
-    out = held(out, _t=F.when(F.col("_cut").isNotNull(), rest).otherwise(F.col(text)))
-    renewed = {text: F.col("_t"), "n_chars": F.when(F.col("_cut").isNotNull(), F.length("_t").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[renewed[c].alias(c) if renewed.get(c) is not None else F.col(c) for c in docs.columns])
+    changed = cuts.withColumn("rejected", F.lit(False)).unionByName(rejected.distinct().withColumns({"cut": none, "rejected": F.lit(True)}))
+    changed = written(changed, "changed").withColumnsRenamed({"key": key, "host": at, "cut": cut, "rejected": done})
+    out = docs.withColumns({key: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), at: F.col(host)})
+    out = matched(out, changed, ["doc_id", key, at], "left").filter(~F.coalesce(F.col(done), F.lit(False)))
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(cut, F.xxhash64(_normal(x)))), "\n")
+    out = held(out, **{new: F.when(F.col(cut).isNotNull(), rest).otherwise(F.col(text))})
+    renewed = {text: F.col(new)}
+    if "n_chars" in docs.columns:
+        renewed["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[renewed[c].alias(c) if c in renewed else F.col(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

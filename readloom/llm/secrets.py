@@ -3,11 +3,13 @@
 Method. Every text is searched for assignments, access ids and long hex runs (base kinds) and for further high-entropy
 tokens. Candidate values are hashed and counted over the corpus by distinct owners and by distinct repositories per
 owner; both counts are sums of pre-aggregated rows. A value that ``min_owners`` owners or ``min_repositories``
-repositories hold is a widely copied example; any other is an owner-specific, live-looking credential. Live high-entropy tokens join the spans; base spans stay whatever
-their verdict. Masking replaces live spans.
+repositories hold is a widely copied example; any other is an owner-specific, live-looking credential. Live high-entropy
+tokens join the spans; base spans stay whatever their verdict. Masking replaces live spans.
 
 Edge cases: null texts are empty; a null owner or repository counts as one of its own; equal rows get equal results,
-one row per row; texts without candidates pass no join; values are known by 64-bit hashes; extra columns are ignored.
+one row per row; texts without candidates pass no join and stay where they are when others are masked; values are known
+by 64-bit hashes; extra columns, whatever their names, are ignored or returned unchanged. Work on a text is in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -15,21 +17,24 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import documents, written
+from ._tables import documents, matched, unused, written
 
-BROADCAST_SPANS = 500_000
 KINDS = ("assign", "access", "hex", "entropy")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ENTROPY = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+#: Every text with a candidate matches this (for Spark's ``rlike``); it decides only which rows a join can concern.
+TRIGGER = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_=-]{24}"
 HEX_BYTES = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 TOKEN_BYTES = bytes(1 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" else 0 for b in range(256))
 
@@ -51,16 +56,28 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
     if b"\1" * 32 in raw.translate(HEX_BYTES):
         out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     if b"\1" * 24 in raw.translate(TOKEN_BYTES):
-        taken = [(s, e) for s, _, e, _ in out]
+        taken = joined_spans([(s, e) for s, _, e, _ in out])
+        starts = [s for s, _ in taken]
         for m in ENTROPY.finditer(text):
-            v = m[0]
-            if any(s < m.end() and m.start() < e for s, e in taken):
+            v, before = m[0], bisect_right(starts, m.end() - 1)
+            if before and taken[before - 1][1] > m.start():
                 continue
             if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= 3.5:
                 out.append((m.start(), 3, m.end(), v))
     return sorted(out)
 
 
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping (start, end) joined, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def found(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text") -> DataFrame:
     """The narrow table: (doc_id, key, owner, repository, spans of start, kind, end, value)."""
 
@@ -93,23 +110,38 @@ def scanned(docs: DataFrame, min_owners: int = 5, min_repositories: int = 1000,
     return with_spans.unionByName(rows.filter(F.size("spans") == 0).select("doc_id", "key", none.alias("spans")))
 
 
+def covered(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with ``mark`` for each span; a span that begins within one before it is part of that one."""
+    parts, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            parts += [text[at:s], mark]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
+
+
 def masked(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
-    """``docs`` with live spans replaced by ``mark`` and ``n_chars`` renewed; other rows and columns as they are."""
+    """``docs`` with live spans replaced by ``mark`` and ``n_chars`` renewed; other rows and columns as they are.
+
+    Whether a text can have candidates shows in the text alone: only such rows are dealt by id and text to meet their live
+    spans, the others pass where they are."""
     live = F.filter("spans", lambda s: s["live"] & (s["end"] > s["start"]))
-    spans = written(scanned(docs, **options).select("doc_id", "key", live.alias("_s")).filter(F.size("_s") > 0).dropDuplicates(["doc_id", "key"]), "live").withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    if (spans.agg(F.sum(F.size("_s"))).first()[0] or 0) <= BROADCAST_SPANS:
-        spans = F.broadcast(spans)  # of a checked size; texts then stay where they are
-    out = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = out.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left")
-    # pieces between spans: each begins where all spans before it have ended
-    first = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    cut = lambda a, b: F.substring("text", a + 1, F.greatest(b - a, F.lit(0)))
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["text"], cut(acc["at"], s["start"]), F.lit(mark)).alias("text"), s["end"].alias("at"))).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at")))
-    done = F.aggregate("_s", first, step, lambda acc: F.concat(acc["text"], cut(acc["at"], F.length("text"))))
-    text = F.when(F.col("_s").isNotNull(), done).otherwise(F.col("text"))
-    out = out.withColumn("_t", text)
-    renewed = {"text": F.col("_t"), "n_chars": F.when(F.col("_s").isNotNull(), F.length("_t").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[renewed[c].alias(c) if renewed.get(c) is not None else F.col(c) for c in docs.columns])
+    spans = scanned(docs, **options).select("doc_id", "key", live.alias("spans")).filter(F.size("spans") > 0)
+    spans = written(spans.groupBy("doc_id", "key").agg(F.first("spans").alias("spans")), "live")  # equal rows have equal spans
+
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else covered(t, list(zip(s, e, strict=True)), mark) for t, s, e in zip(texts, starts, ends, strict=True)])
+
+    key, number, mine = unused(docs.columns, "key", "number", "spans")
+    may = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
+    some = docs.filter(may).withColumns({key: F.xxhash64("text"), number: F.col("doc_id").cast("long")})
+    some = matched(some, spans.withColumnsRenamed({"doc_id": number, "key": key, "spans": mine}), [number, key], "left")
+    renewed = {"text": cover("text", F.transform(mine, lambda s: s["start"]), F.transform(mine, lambda s: s["end"]))}
+    some = some.withColumn("text", renewed["text"])
+    if "n_chars" in docs.columns:
+        some = some.withColumn("n_chars", F.when(F.col(mine).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return docs.filter(~may).unionByName(some.select(*docs.columns))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
