@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from readloom import reachable
 from readloom.llm import mixing, near_dedup, packing, quality, secrets
-from readloom.llm._tables import BROADCAST_ROWS, written
+from readloom.llm._tables import matched, unused, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line frequencies reject go."""
+    """Documents that the base rules or the line frequencies reject go; the others lose the lines above the limit.
+
+    Null and empty texts fail the base rules and go; equal rows meet the same fate; an empty table stays empty."""
     reachable(spark)
     return quality.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
+    """One document of each near-duplicate group stays, the one with the smallest id; of repeated rows, one.
+
+    Rows without an id or without words are linked with nothing and stay."""
     reachable(spark)
     return near_dedup.deduplicated(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Owner-specific secrets are masked in place; all documents stay."""
+    """Owner-specific secrets are masked in place; all documents stay, null and empty texts as they are."""
     reachable(spark)
     return secrets.masked(docs)
 
@@ -31,16 +35,20 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole copy (blocks cut at most one document per source).
 
-    Rows that repeat an id are copies of one document. Up to ``BROADCAST_ROWS`` counts travel to the texts; more are joined by shuffle."""
-    taken = mixing.mixed(docs).select(F.col("doc_id").alias("_d"), F.greatest(F.round(F.col("taken") / F.nullif("size", F.lit(0))), F.lit(0)).cast("int").alias("_n"))
-    taken = written(taken.filter("_n > 0"), "taken").dropDuplicates(["_d"])
-    if taken.count() <= BROADCAST_ROWS:
-        taken = F.broadcast(taken)
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    Documents without words are never taken. Rows that repeat an id and text are taken equally often, as their mean is.
+    The counts, a narrow table, meet the texts in one join dealt by id and text."""
+    reachable(spark)
+    key, copies, number = unused(docs.columns, "text_key", "copies", "number")
+    named = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), number: F.col("doc_id").cast("long")})
+    taken = mixing.mixed(docs).groupBy(F.col("doc_id").cast("long").alias(number), F.col("text_key").alias(key))
+    taken = taken.agg(F.round(F.avg("taken") / F.nullif(F.max("size"), F.lit(0))).cast("int").alias(copies))
+    out = matched(named, written(taken.filter(F.col(copies) > 0), "taken"), [number, key], "left").filter(F.col(copies) > 0)
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and offsets. A null or empty text is one piece, its end id; rows that
+    repeat are packed as often as they occur; an empty table gives no rows."""
     reachable(spark)
     return packing.packed(written(packing.pieces(docs), "pieces"))
 
