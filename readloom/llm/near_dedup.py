@@ -132,7 +132,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the least neighbour of ``u``. A node's edges are dealt to ``SALTS`` tasks, as one node can have a third of all."""
     low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "part"]).select("u", "v", "m")
+    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.hint("shuffle_hash"), ["u", "part"]).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
