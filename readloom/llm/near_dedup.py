@@ -33,8 +33,6 @@ from ._tables import checkpointed, documents, matched, unused, written
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 32, 4, 20240229
 #: Rounds go on while at least one in so many comparisons links; shingles (and 1000 a text) in a block.
 USEFUL, BLOCK = 4, 1_500_000
-#: Parts that the edges of one node are dealt to.
-SALTS = 8
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], "uint64")
 
 
@@ -130,9 +128,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): each edge with the least neighbour of ``u``. A node's edges are dealt to ``SALTS`` tasks, as one node can have a third of all."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.hint("shuffle_hash"), ["u", "part"]).select("u", "v", "m")
+    """(u, v, m): each edge with the least neighbour of ``u``; minima are taken before the shuffle, and a join of one node's many edges can be split."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(links: DataFrame) -> DataFrame:

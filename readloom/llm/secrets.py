@@ -20,7 +20,6 @@ import re
 from bisect import bisect_right
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,9 +128,10 @@ def masked(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     spans = scanned(docs, **options).select("doc_id", "key", live.alias("spans")).filter(F.size("spans") > 0)
     spans = written(spans.groupBy("doc_id", "key").agg(F.first("spans").alias("spans")), "live")  # equal rows have equal spans
 
-    @F.pandas_udf("string")
-    def cover(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else covered(t, list(zip(s, e, strict=True)), mark) for t, s, e in zip(texts, starts, ends, strict=True)])
+    @F.arrow_udf("string")
+    def cover(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)
+        return pa.array([t if s is None else covered(t, list(zip(s, e, strict=True)), mark) for t, s, e in rows], pa.string())
 
     key, number, mine = unused(docs.columns, "key", "number", "spans")
     may = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
