@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,18 @@ def session(cores: int | None = None) -> SparkSession:
 
 def _opened(spark: SparkSession, path: str, spec: ReadFilter | None, raw: bool = False, check: bool = True) -> tuple[DataFrame, DataFrame, ReadFilter]:
     bam.validate([path])
-    reads, spec = bam.read_bam(spark, path, raw=raw), spec or LIBRARY
+    reads, refs, spec = bam.read_bam(spark, path, raw=raw), bam.read_refs(spark, path), spec or LIBRARY
     if check:
         require_paired(reads, spec)
-    return reads, bam.read_refs(spark, path), spec
+    if spec.blacklist is not None:
+        text.check_chromosomes(spec.blacklist, refs)
+    return reads, refs, spec
+
+
+def _apart(path: str, *outputs: str) -> None:
+    """A file can't be read and replaced at once."""
+    if any(os.path.abspath(path) == os.path.abspath(o) for o in outputs):
+        raise ValueError(f"{path} is the input; name another output")
 
 
 def _written(signal: DataFrame, refs: DataFrame, output: str, ignore_scaffolds: bool = False) -> str:
@@ -100,11 +109,13 @@ def collapse_bedgraph(spark: SparkSession, path: str, output: str) -> str:
 
 
 def split_bam(spark: SparkSession, path: str, output: str, read_filter: ReadFilter | None = COMMAND_LINE, command: str = "") -> str:
+    _apart(path, output)
     reads, _, spec = _opened(spark, path, read_filter, raw=True)
     return bam.write_bam(passing(reads, spec), output, header_from=path, command=command)
 
 
 def modify(spark: SparkSession, path: str, output: str, tn5_shift: bool = False, read_filter: ReadFilter | None = COMMAND_LINE, command: str = "") -> str:
+    _apart(path, output)
     reads, refs, spec = _opened(spark, path, read_filter, raw=True)
     kept = passing(reads, spec)
     return bam.write_bam(tn5_adjusted(kept, refs) if tn5_shift else kept, output, header_from=path, command=command)
@@ -112,12 +123,17 @@ def modify(spark: SparkSession, path: str, output: str, tn5_shift: bool = False,
 
 def split_exogenous(spark: SparkSession, path: str, output: str, exogenous_prefix: str, stats: str | None = None, read_filter: ReadFilter | None = COMMAND_LINE, command: str = "") -> dict:
     """Writes ``<output>.endogenous.bam`` and its three siblings; returns (and writes) the statistics."""
-    reads, _, spec = _opened(spark, path, read_filter, raw=True)
-    classes = split.classified(reads, exogenous_prefix, spec)
     stem = os.path.splitext(output)[0]
-    for name, rows in split.fanned_out(classes).items():
-        bam.write_bam(rows, f"{stem}.{name}.bam", header_from=path, command=command)
-    row = split.split_stats(classes, parse.sample_names([path])[0]).first().asDict()
+    outputs = {name: f"{stem}.{name}.bam" for name in ("endogenous", "exogenous", "both", "unmapped")}
+    _apart(path, *outputs.values())
+    reads, _, spec = _opened(spark, path, read_filter, raw=True)
+    classes = split.classified(reads, exogenous_prefix, spec).persist(StorageLevel.DISK_ONLY)  # four files and the statistics read it
+    try:
+        for name, rows in split.fanned_out(classes).items():
+            bam.write_bam(rows, outputs[name], header_from=path, command=command)
+        row = split.split_stats(classes, parse.sample_names([path])[0]).first().asDict()
+    finally:
+        classes.unpersist()
     if stats:
         with open(stats, "w") as f:
             json.dump(row, f)
@@ -148,28 +164,47 @@ def get_signal_for_chromosome(spark: SparkSession, bam_path: str, chromosome_nam
     return out
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class ScaleFactorResult:
+    """Lists by sample. ``counts()`` has a row per bin and a column per sample, ``bin_chroms``, ``bin_starts`` and ``bin_ends``
+    (1-based, inclusive) an entry per row; they are empty, and the counts None, unless counts were asked for."""
+
     method: str
-    samples: list[str]
+    sample_names: list[str]
     scale_factors: list[float]
     norm_factors: list[float]
     library_sizes: list[int]
     n_bins_total: int
     n_bins_used: int
     reference_sample: str | None = None
-    counts: np.ndarray | None = None
+    matrix: np.ndarray | None = None
+    bin_chroms: tuple[str, ...] = ()
+    bin_starts: tuple[int, ...] = ()
+    bin_ends: tuple[int, ...] = ()
+
+    def counts(self) -> np.ndarray | None:
+        return self.matrix
+
+    @property
+    def samples(self) -> list[str]:
+        return self.sample_names
 
     def to_dict(self) -> dict:
-        return {k: v for k, v in asdict(self).items() if k != "counts"}
+        lists = ("method", "reference_sample", "n_bins_total", "n_bins_used", "sample_names", "library_sizes", "norm_factors", "scale_factors")
+        return {k: getattr(self, k) for k in lists}
+
+    def __repr__(self) -> str:
+        return f"ScaleFactorResult(method={self.method!r}, sample_names={self.sample_names!r}, scale_factors={self.scale_factors!r})"
 
 
-def compute_scale_factors(spark: SparkSession, bam_paths: list[str], method: str = "csaw-background", bin_size: int = 10_000, exclude_top_percent: float = 5.0, reference_sample: str | None = None, logratio_trim: float = 0.3, sum_trim: float = 0.05, exogenous_prefix: str | None = None, use_fragment: bool = False, ignore_scaffold_chromosomes: bool = True, read_filter: ReadFilter | None = None, return_counts: bool = False, samples: list[str] | None = None, counts_out: str | None = None) -> ScaleFactorResult:
-    names = samples or parse.sample_names(bam_paths)
+def compute_scale_factors(spark: SparkSession, bam_paths: list[str], method: str = "csaw-background", bin_size: int = 10_000, exclude_top_percent: float = 5.0, reference_sample: str | None = None, logratio_trim: float = 0.3, sum_trim: float = 0.05, exogenous_prefix: str | None = None, use_fragment: bool = False, ignore_scaffold_chromosomes: bool = True, read_filter: ReadFilter | None = None, return_counts: bool = False, sample_names: list[str] | None = None, counts_out: str | None = None) -> ScaleFactorResult:
+    if not bam_paths:
+        raise ValueError("no BAM files")
+    names = sample_names or parse.sample_names(bam_paths)
     if len(set(names)) != len(names) or len(names) != len(bam_paths):
         raise ValueError("every file needs a sample name of its own")
     bam.validate(bam_paths)
-    matrix = held = None
+    matrix, held, cells = None, None, []
     if method == "spike-in":
         if not exogenous_prefix:
             raise ValueError("spike-in needs an exogenous prefix")
@@ -191,15 +226,20 @@ def compute_scale_factors(spark: SparkSession, bam_paths: list[str], method: str
         if counts_out:
             text.write_table(table.select("chrom", "start", "end", *[F.col(f"`{n}`").cast("double").alias(n) for n in names]), counts_out)
         if return_counts:
-            matrix = np.array([[r[n] for n in names] for r in table.orderBy("chrom", "start").collect()], "int64").reshape(-1, len(names))
+            cells = table.orderBy("chrom", "start").collect()
+            matrix = np.array([[r[n] for n in names] for r in cells], "uint64").reshape(-1, len(names))
     by = {r["sample"]: r for r in rows.collect()}
     if held is not None:
         held.unpersist()
     pick = lambda k: [by[n][k] for n in names]
-    return ScaleFactorResult(method, names, pick("scale_factor"), pick("norm_factor"), pick("library_size"), by[names[0]]["n_bins_total"], by[names[0]]["n_bins_used"], reference_sample, matrix)
+    return ScaleFactorResult(method, names, pick("scale_factor"), pick("norm_factor"), pick("library_size"), by[names[0]]["n_bins_total"], by[names[0]]["n_bins_used"], reference_sample, matrix, tuple(r["chrom"] for r in cells), tuple(r["start"] + 1 for r in cells), tuple(r["end"] for r in cells))
 
 
 def filter_report(spark: SparkSession, path: str, spec: ReadFilter) -> str:
+    """What the filter does to a file's reads, stage by stage, under the settings that differ from no filter."""
     reads, _, spec = _opened(spark, path, spec, check=False)
+    plain = ReadFilter()
+    set_ = {f.name: getattr(spec, f.name) for f in fields(spec) if not isinstance(getattr(spec, f.name), DataFrame) and getattr(spec, f.name) != getattr(plain, f.name)}
+    head = [f"file: {path}", "filter: " + (", ".join(f"{k} {v}" for k, v in set_.items()) or "none")]
     rows = sorted(funnel(reads, spec).collect(), key=lambda r: r["step"])
-    return "\n".join(f"{r['label']:<30}{r['remaining']:>15,}{r['dropped']:>15,}{r['percent']:>9.2f} %" for r in rows)
+    return "\n".join([*head, *(f"{r['label']:<36}{r['remaining']:>15,}{r['dropped']:>15,}{r['percent']:>9.2f} %" for r in rows)])

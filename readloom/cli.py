@@ -7,12 +7,20 @@ import json
 import logging
 import signal
 import sys
+import threading
 
 from readloom import __version__, api
 from readloom.functions import parse
 from readloom.operators.filters import COMMAND_LINE
 from readloom.sources import text
 
+#: What the codes of the inference's warnings mean.
+WARNINGS = {
+    "variable_bin_sizes": "the intervals have no bin size in common; factors per kilobase cannot be told",
+    "smoothing_detected": "the second value is no whole multiple of the smallest; the track may be smoothed",
+    "pseudocount_detected": "the values look as if a constant had been added; the factor is that of the second value",
+    "min_from_small_chrom": "the smallest value is on a chromosome of less than a thousandth of the genome",
+}
 LEVELS = (logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG, logging.NOTSET)
 
 
@@ -141,8 +149,7 @@ def shown(rows: list[dict], kind: str) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(x, width, strict=True)).rstrip() for x in lines)
 
 
-def _report(rows: list[dict], a) -> None:
-    out = shown(rows, a.format)
+def _put(out: str, a) -> None:
     if a.output:
         with open(a.output, "w") as f:
             f.write(out + "\n")
@@ -150,12 +157,19 @@ def _report(rows: list[dict], a) -> None:
         print(out)
 
 
+def _report(rows: list[dict], a) -> None:
+    _put(shown(rows, a.format), a)
+
+
 def run(a: argparse.Namespace) -> None:
     spark = api.session(a.threads)
     name, line = a.command, " ".join(sys.argv)
     cover = lambda: {k: getattr(a, k) for k in ("bin_size", "normalize", "scale_factor", "fragment_counts", "shift", "truncate", "ignore_scaffolds")} | {"read_filter": _spec(spark, a)}
     if name in ("bam-coverage", "coverage"):
-        api.bam_coverage(spark, a.bam, a.output, **cover())
+        options = cover()
+        if a.verbose >= 2:
+            print(api.filter_report(spark, a.bam, options["read_filter"]), file=sys.stderr)
+        api.bam_coverage(spark, a.bam, a.output, **options)
     elif name in ("multi-bam-coverage", "multi-coverage"):
         api.multi_bam_coverage(spark, a.bams, a.output, barcode_sets=a.barcode_sets, **cover())
     elif name in ("bigwig-compare", "compare-bigwigs"):
@@ -174,14 +188,17 @@ def run(a: argparse.Namespace) -> None:
         row = api.infer_scale(spark, a.bigwig, a.min_stable_streak, a.max_starts)
         if a.format == "table":
             for w in row["warnings"]:
-                print(f"warning: {w}", file=sys.stderr)
+                print(f"warning: {WARNINGS[w]}", file=sys.stderr)
         _report([row], a)
     else:
         if bool(a.bams) == bool(a.sample_sheet):
             raise ValueError("give either --bams or --sample-sheet")
         pairs = text.read_sample_sheet(spark, a.sample_sheet) if a.sample_sheet else list(zip(parse.sample_names(a.bams), a.bams, strict=True))
-        r = api.compute_scale_factors(spark, [b for _, b in pairs], a.method, a.bin_size, a.exclude_top_percent, a.reference_sample, a.logratio_trim, a.sum_trim, a.exogenous_prefix, a.fragment_counts, a.ignore_scaffolds, _spec(spark, a), samples=[s for s, _ in pairs], counts_out=a.counts_out)
-        _report([{"sample": s, "method": r.method, "library_size": n, "norm_factor": f, "scale_factor": x, "n_bins_total": r.n_bins_total, "n_bins_used": r.n_bins_used} for s, n, f, x in zip(r.samples, r.library_sizes, r.norm_factors, r.scale_factors, strict=True)], a)
+        r = api.compute_scale_factors(spark, [b for _, b in pairs], a.method, a.bin_size, a.exclude_top_percent, a.reference_sample, a.logratio_trim, a.sum_trim, a.exogenous_prefix, a.fragment_counts, a.ignore_scaffolds, _spec(spark, a), sample_names=[s for s, _ in pairs], counts_out=a.counts_out)
+        if a.format == "json":
+            _put(json.dumps(r.to_dict(), indent=2), a)
+        else:
+            _report([{"sample": s, "method": r.method, "library_size": n, "norm_factor": f, "scale_factor": x, "n_bins_total": r.n_bins_total, "n_bins_used": r.n_bins_used} for s, n, f, x in zip(r.sample_names, r.library_sizes, r.norm_factors, r.scale_factors, strict=True)], a)
 
 
 def _collapse(spark, a) -> None:
@@ -207,14 +224,23 @@ def _collapsed_to(rows, output: str) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    signal.signal(signal.SIGINT, signal.SIG_DFL)
-    a = parser().parse_args(argv)
+    """0 if all went well (help and version, too), 1 on a failure, 2 on a bad command line. Interrupts end the program while it
+    runs; the handler that was there before is put back."""
+    try:
+        a = parser().parse_args(argv)
+    except SystemExit as e:
+        return int(e.code or 0)
     logging.basicConfig(level=LEVELS[a.verbose])
+    main_thread = threading.current_thread() is threading.main_thread()
+    before = signal.signal(signal.SIGINT, signal.SIG_DFL) if main_thread else None
     try:
         run(a)
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    finally:
+        if main_thread:
+            signal.signal(signal.SIGINT, before)
     return 0
 
 

@@ -38,11 +38,13 @@ def strand(text: str) -> str:
 
 
 def sample_names(paths: list[str]) -> list[str]:
-    """File stems; repeated ones get ``_1``, ``_2`` and so on."""
-    seen: dict[str, int] = {}
-    out = []
-    for stem in (Path(p).stem for p in paths):
-        k = seen.get(stem, 0)
-        seen[stem] = k + 1
-        out.append(f"{stem}_{k}" if k else stem)
+    """File stems; one that is taken gets the next of ``_1``, ``_2`` and so on that neither a stem nor a name before it is."""
+    stems = [Path(p).stem for p in paths]
+    out: list[str] = []
+    for stem in stems:
+        name, k = stem, 0
+        while name in out or (k and name in stems):
+            k += 1
+            name = f"{stem}_{k}"
+        out.append(name)
     return out

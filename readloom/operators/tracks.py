@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.reads import is_scaffold  # noqa: F401
 from readloom.operators.binning import checked, grid, run_lengths
 
 AGGREGATES = ("sum", "mean", "median", "max", "min")
@@ -130,14 +129,6 @@ def compared(tracks: DataFrame, refs: DataFrame, first, second, method: str = "s
     return _dense(out, refs, bs, op(F.lit(0.0), F.lit(0.0)))
 
 
-def require_chromosomes(tracks: DataFrame, names: list) -> None:
-    """Every track must have the chromosomes of the first."""
-    have = {n: {r[0] for r in tracks.filter(F.col("track") == n).select("chrom").distinct().collect()} for n in names}
-    for n in names[1:]:
-        if missing := have[names[0]] - have[n]:
-            raise ValueError(f"track {n!r} lacks chromosomes {sorted(missing)}")
-
-
 def joined_bins(bins: DataFrame) -> DataFrame:
     """Touching bins of exactly equal value joined, as tracks are written."""
     return run_lengths(bins, ("chrom",), ("value",))

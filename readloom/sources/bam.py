@@ -181,6 +181,17 @@ def read_index(path: str) -> list[RefIndex]:
     return out
 
 
+def with_ends(path: str, start: int) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, offset of the next record, record); after the last one comes the end of the file."""
+    before = None
+    for at, data in records(path, start, None):
+        if before:
+            yield before[0], at, before[1]
+        before = (at, data)
+    if before:
+        yield before[0], os.path.getsize(path) << 16, before[1]
+
+
 def write_index(path: str) -> str:
     """Indexes a coordinate-sorted file."""
     _, refs, first = read_header(path)
@@ -188,17 +199,16 @@ def write_index(path: str) -> str:
     linear: list[dict[int, int]] = [{} for _ in refs]
     meta = [[0, 0, 0, 0] for _ in refs]
     unplaced, last = 0, None
-    found = [(at, *struct.unpack_from("<ii", d), struct.unpack_from("<H", d, 14)[0], parse(d, refs, False)[8]) for at, d in records(path, first, None)]
-    size = os.path.getsize(path)
-    for k, (at, ref, pos, flag, span) in enumerate(found):
-        end = found[k + 1][0] if k + 1 < len(found) else size << 16
+    for at, end, d in with_ends(path, first):
+        (ref, pos), (n_ops, flag) = struct.unpack_from("<ii", d), struct.unpack_from("<HH", d, 12)
         if ref < 0:
             unplaced += 1
             continue
         if last is not None and (ref, pos) < last:
             raise ValueError("only coordinate-sorted files can be indexed")
         last = (ref, pos)
-        stop = pos + max(1, span)
+        ops = struct.unpack_from(f"<{n_ops}I", d, 32 + d[8])
+        stop = pos + max(1, sum(x >> 4 for x in ops if (x & 15) in (0, 2, 3, 7, 8)))
         chunks = bins[ref].setdefault(reg2bin(pos, stop), [])
         if chunks and chunks[-1][1] == at:
             chunks[-1][1] = end
@@ -428,22 +438,24 @@ def write_bam(reads: DataFrame, path: str, header_from: str | None = None, refs:
     names = [c.split()[0] for c in re.sub(r"<.*?>", "", ALIGNMENTS).split(", ")]
     kinds = spark.createDataFrame([], ALIGNMENTS).schema
     reads = reads.select(*[(F.col(c) if c in reads.columns else F.lit(None)).cast(kinds[c].dataType).alias(c) for c in names])
-    out = reads.write.format("bam").mode("append").option("command", command)
+    out = reads.write.format("bam").mode("overwrite").option("command", command)
     if header_from:
         out = out.option("header_from", header_from)
     elif refs:
         out = out.option("refs", ",".join(f"{n}:{k}" for n, k in refs))
-    if os.path.exists(path):
-        os.remove(path)
-    out.save(path)
+    out.save(path)  # the target is replaced when all parts are written, not before
     if index:
         write_index(path)
     return path
 
 
+class MissingInput(FileNotFoundError, RuntimeError):
+    """A file that is needed does not exist."""
+
+
 def validate(paths: list[str]) -> None:
     for p in paths:
         if not os.path.exists(p):
-            raise FileNotFoundError(f"{p} does not exist")
+            raise MissingInput(f"{p} does not exist")
         if index_path(p) is None:
-            raise FileNotFoundError(f"{p} has no index ({p}.bai)")
+            raise MissingInput(f"{p} has no index ({p}.bai)")

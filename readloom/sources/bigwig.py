@@ -387,7 +387,5 @@ def write_bigwig(signal: DataFrame, refs: DataFrame, path: str, value: str = "va
     names = [(r["chrom"], r["length"]) for r in refs.orderBy("ref_id").select("chrom", "length").collect()]
     rows = signal.select("chrom", "start", "end", F.col(value).cast("float").alias("value")).join(F.broadcast(refs.select("ref_id", "chrom")), "chrom")
     rows = rows.repartitionByRange("ref_id", "start").sortWithinPartitions("ref_id", "start").select(F.lit(None).cast("string").alias("track"), "chrom", "start", "end", "value")
-    if os.path.exists(path):
-        os.remove(path)
-    rows.write.format("bigwig").mode("append").option("refs", ",".join(f"{n}:{k}" for n, k in names)).save(path)
+    rows.write.format("bigwig").mode("overwrite").option("refs", ",".join(f"{n}:{k}" for n, k in names)).save(path)
     return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +48,47 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).filter(F.size("f") >= 4).select(f(0).alias("chrom"), f(1).cast("long").alias("start"), f(2).cast("long").alias("end"), f(3).cast("double").alias("score"))
 
 
-def write_bedgraph(signal: DataFrame, path: str, value: str = "score", ignore_scaffolds: bool = False, base: int = 0, single: bool = False) -> None:
-    """Tab-separated, without header, sorted by (chrom, start); ``base`` 1 writes 1-based coordinates."""
+def _to_file(rows: DataFrame, path: str, header: bool = False) -> None:
+    """Tab-separated rows as one file: tasks write parts in order beside it, then they are put together under its name.
+
+    The copy goes through the file system of the path, a buffer at a time; what was there before stays until it is whole."""
+    spark = rows.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    rows.write.csv(parts, sep="\t")
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at(parts)))
+    out = fs.create(at(f"{parts}/whole"), True)
+    if header:
+        out.write(bytearray(("\t".join(rows.columns) + "\n").encode()))
+    for name in (n for n in names if n.startswith("part-")):
+        source = fs.open(at(f"{parts}/{name}"))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+    out.close()
+    fs.delete(at(path), True)
+    fs.rename(at(f"{parts}/whole"), at(path))
+    fs.delete(at(parts), True)
+
+
+def write_bedgraph(signal: DataFrame, path: str, value: str = "score", ignore_scaffolds: bool = False, base: int = 0, single: bool = True) -> None:
+    """Tab-separated, without header, sorted by (chrom, start); ``base`` 1 writes 1-based coordinates. ``single=False`` leaves a folder of parts."""
     out = signal.filter(~is_scaffold()) if ignore_scaffolds else signal
     out = out.select("chrom", (F.col("start") + base).alias("start"), (F.col("end") + base).alias("end"), value).orderBy("chrom", "start")
-    (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, sep="\t")
+    if single:
+        _to_file(out, path)
+    else:
+        out.write.mode("overwrite").csv(path, sep="\t")
 
 
-def write_table(rows: DataFrame, path: str, single: bool = False) -> None:
-    """Tab-separated with a header."""
+def write_table(rows: DataFrame, path: str, single: bool = True) -> None:
+    """Tab-separated with a header, sorted by (chrom, start). ``single=False`` leaves a folder of parts."""
     out = rows.orderBy("chrom", "start")
-    (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, sep="\t", header=True)
+    if single:
+        _to_file(out, path, header=True)
+    else:
+        out.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def read_barcodes(spark: SparkSession, path: str) -> DataFrame:

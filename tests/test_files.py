@@ -144,15 +144,22 @@ def test_scale_factors(spark, bams, tmp_path):
         r = api.compute_scale_factors(spark, bams, method, 20_000, return_counts=method == "cpm")
         assert len(r.scale_factors) == 2 and all(x > 0 for x in r.scale_factors)
         if method == "cpm":
-            assert r.counts.shape[1] == 2 and r.counts.sum() > 0
+            assert r.counts().shape == (len(r.bin_chroms), 2) and r.counts().dtype == np.uint64 and r.counts().sum() > 0
+            assert len(r.bin_starts) == len(r.bin_ends) == len(r.bin_chroms) and min(r.bin_starts) == 1
+        else:
+            assert r.counts() is None and r.bin_chroms == ()
     r = api.compute_scale_factors(spark, [bams[0], bams[0]], "tmm", 20_000)
     assert r.samples == ["S0", "S0_1"] and r.norm_factors == pytest.approx([1, 1])
     assert api.compute_scale_factors(spark, bams, "spike-in", exogenous_prefix="spike_").library_sizes[0] > 0
     for bad in ({"method": "none"}, {"method": "spike-in"}):
         with pytest.raises(ValueError):
             api.compute_scale_factors(spark, bams, **bad)
-    with pytest.raises(ValueError):
-        api.compute_scale_factors(spark, bams[:1], "tmm")
+    for bad in ((bams[:1], "tmm"), ([], "cpm")):
+        with pytest.raises(ValueError):
+            api.compute_scale_factors(spark, *bad)
+    with pytest.raises(RuntimeError):
+        api.compute_scale_factors(spark, ["does_not_exist.bam"], "cpm")
+    assert api.compute_scale_factors(spark, bams, "cpm", sample_names=["p", "q"]).sample_names == ["p", "q"]
 
 
 def test_command_line(spark, bams, tmp_path, capsys):
@@ -165,8 +172,21 @@ def test_command_line(spark, bams, tmp_path, capsys):
     assert cli.main(["norm-factors", "--bams", *bams, "--method", "cpm", "--format", "tsv"]) == 0
     assert capsys.readouterr().out.startswith("sample\tmethod")
     assert cli.main(["coverage", "--bam", "/nowhere.bam"]) == 1
-    with pytest.raises(SystemExit):
-        cli.main(["bigwig-compare"])
+    assert cli.main(["bigwig-compare"]) == 2 and cli.main(["nonesuch"]) == 2 and cli.main(["--help"]) == 0
+    import signal
+
+    before = signal.getsignal(signal.SIGINT)
+    assert cli.main(["--version"]) == 0 and cli.main(["coverage", "--bam", "/nowhere.bam"]) == 1 and signal.getsignal(signal.SIGINT) is before
+    (tmp_path / "far.bed").write_text("chr77\t5\t9\n")
+    assert cli.main(["split", "-i", bams[0], "-o", str(tmp_path / "f.bam"), "--blacklist", str(tmp_path / "far.bed")]) == 1
+    kept = open(bams[0], "rb").read()
+    assert cli.main(["split", "-i", bams[0], "-o", bams[0]]) == 1 and open(bams[0], "rb").read() == kept
+    assert cli.main(["-v", "2", "coverage", "--bam", bams[0], "-o", str(tmp_path / "c.bedgraph"), "--bin-size", "5000"]) == 0
+    assert "reads kept" in capsys.readouterr().err
+    lines = [x.split("\t") for x in (tmp_path / "c.bedgraph").read_text().splitlines()]
+    assert all(len(x) == 4 for x in lines) and [(x[0], int(x[1])) for x in lines] == sorted((x[0], int(x[1])) for x in lines)
+    assert (tmp_path / "m.tsv").read_text().startswith("chrom\tstart\tend\tS0\tS1\nchr1\t0\t")
+    assert [p.name for p in tmp_path.iterdir() if "parts-" in p.name] == []
 
 
 def test_infer_scale_command(spark, tmp_path, capsys):

@@ -36,6 +36,7 @@ def test_parsers():
     assert parse.shift("4,-5, 5,x") == (4, -5, 5, 0) and parse.truncation("3,x") == (3, None)
     assert [parse.strand(s) for s in ("FWD", "-", "both")] == ["forward", "reverse", "both"]
     assert parse.sample_names(["/a/x.bam", "/b/x.bam", "y.bam", "x.bam"]) == ["x", "x_1", "y", "x_2"]
+    assert parse.sample_names(["a/x", "b/x", "c/x_1"]) == ["x", "x_2", "x_1"]
     for f, bad in ((parse.shift, "1,2"), (parse.truncation, "1"), (parse.strand, "up")):
         with pytest.raises(ValueError):
             f(bad)
@@ -86,7 +87,7 @@ def test_presets_funnel_and_pairing(spark):
     r = reads(spark, {}, {"flag": 1}, {"flag": 1025})
     assert passing(r, LIBRARY).count() == 1 and passing(r, PYTHON).count() == 3
     got = {x["label"]: (x["remaining"], x["dropped"]) for x in funnel(r, PYTHON.having(ignore_duplicates=True, proper_pair=True)).collect()}
-    assert got == {"Initial reads": (3, 0), "Not a duplicate": (2, 1), "Pass proper-pair filter": (1, 1), "Reads retained": (1, 0)}
+    assert got == {"all reads": (3, 0), "first copies": (2, 1), "reads in a proper pair": (1, 1), "reads kept": (1, 0)}
     assert {x["percent"] for x in funnel(r.limit(0), PYTHON).collect()} == {0.0}
     with pytest.raises(ValueError):
         require_paired(reads(spark, {"flag": 0}), PYTHON.having(min_fragment=1))
