@@ -33,10 +33,14 @@ def register(name: str, sql: str | None = None):
 
 
 def queries():
+    from readloom.plans import files  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    from readloom.plans import files  # noqa: F401
+
     return dict(SQL)
 
 
