@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BASE, NOTICES
+from .licenses import BASE, NOTICES, rivals
 from .mixing import WEIGHTS
 
 BLANKS = r"[^ \t\n\v\f\r]+"
@@ -21,7 +21,10 @@ def license_scan() -> str:
 w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
 tok AS (SELECT * FROM (VALUES {_values(tokens)}) AS t(k, label, need, n, word)), phr AS (SELECT * FROM (VALUES {_values(phrases)}) AS p(label, phrase, n)),
 b AS (SELECT DISTINCT doc_id, i // {step} - o AS block, word FROM w, (VALUES (0), (1)) AS o(o) WHERE i // {step} - o >= 0),
-hit AS (SELECT doc_id, block, k, any_value(label) AS label, count(*) / any_value(n)::DOUBLE AS score FROM b JOIN tok USING (word) GROUP BY doc_id, block, k HAVING count(*) >= any_value(need)),
+rival AS (SELECT * FROM (VALUES {_values(rivals(NOTICES))}) AS r(k, other)),
+fits AS (SELECT doc_id, block, k, any_value(label) AS label, count(*) / any_value(n)::DOUBLE AS score FROM b JOIN tok USING (word) GROUP BY doc_id, block, k HAVING count(*) >= any_value(need)),
+beaten AS (SELECT DISTINCT m.doc_id, m.block, m.k FROM fits m JOIN rival USING (k) JOIN fits o ON o.doc_id = m.doc_id AND o.k = rival.other AND o.score > m.score AND abs(o.block - m.block) <= 1),
+hit AS (SELECT * FROM fits ANTI JOIN beaten USING (doc_id, block, k)),
 place AS (SELECT d.doc_id, p.label, i FROM d, phr p, unnest(range(0, len(d.w) - p.n + 1)) AS u(i) WHERE array_to_string(d.w[i + 1:i + p.n], ' ') = p.phrase),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) GROUP BY doc_id),

@@ -2,8 +2,9 @@
 
 Method. A segment is a whole span with a type; its features (shape, digit counts, checksum, words before it) are of the span
 at once. Base patterns and looser shapes propose segments of at most ``MAX_TOKENS`` tokens; each shape needs a digit,
-``@`` or a spelt-out ``(at)`` or ``[at]``, so the dynamic program runs over the stretches of ``MARGIN`` characters around
-those and ``[dot]``, which loses only segments that reach farther from all of them. It chooses boundaries and types jointly: best score over segmentations whose entities have bounded length. Weights are
+``@`` or a spelt-out ``(at)`` or ``[at]``. So the dynamic program runs over the stretches around those: as far to both
+sides as a segment's tokens and the words that its features look at can reach, which gives what decoding the whole text
+gives. It chooses boundaries and types jointly: best score over segmentations whose entities have bounded length. Weights are
 trained here, by gradient ascent on the conditional likelihood (forward-backward over the same segments) of sentences
 that a seeded generator labels; their number is the documented bound ``TRAIN``.
 
@@ -20,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -31,7 +33,7 @@ from ._tables import documents
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "birth")
-MAX_TOKENS, MARGIN, TRAIN, EPOCHS, SEED = 16, 48, 400, 6, 7
+MAX_TOKENS, CUE_WORDS, TRAIN, EPOCHS, SEED = 16, 3, 400, 6, 7
 
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,11 +97,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 # the model -------------------------------------------------------------------------------------------------------------
+def _before(text: str, at: int) -> int:
+    """A word boundary so far back that ``MAX_TOKENS`` tokens, and ``CUE_WORDS`` words before those, lie between it and ``at``."""
+    size = 128
+    while True:
+        lo = max(0, at - size)
+        while lo and not text[lo - 1].isspace():
+            lo -= 1
+        if lo == 0 or sum(t.isalpha() for t in TOKEN.findall(text, lo, at)[:-MAX_TOKENS]) >= CUE_WORDS:
+            return lo
+        size *= 2
+
+
+def _after(text: str, at: int) -> int:
+    size = 64
+    while True:
+        hi = min(len(text), at + size)
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
+        if hi == len(text) or len(TOKEN.findall(text, at, hi)) > MAX_TOKENS:
+            return hi
+        size *= 2
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around triggers, ``MARGIN`` characters to both sides."""
-    out: list[list[int]] = []
+    """Parts of the text around triggers that hold all segments near them, and the words before those, whole."""
+    near: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if near and m.start() - near[-1][1] < 64:
+            near[-1][1] = m.end()
+        else:
+            near.append([m.start(), m.end()])
+    out: list[list[int]] = []
+    for s, e in near:
+        lo, hi = _before(text, s), _after(text, e)
         if out and lo <= out[-1][1]:
             out[-1][1] = max(hi, out[-1][1])
         else:
@@ -153,7 +184,7 @@ def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str,
                 span = text[start:b]
                 for kind, shape in SHAPES.items():
                     if shape.fullmatch(span):
-                        out.append((i, j, kind, features(kind, span, tuple(words[-3:]))))
+                        out.append((i, j, kind, features(kind, span, tuple(words[-CUE_WORDS:]))))
         if text[start:end].isalpha():
             words.append(text[start:end].lower())
     return tokens, out
@@ -207,6 +238,10 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         d += next(c for c in "0123456789" if luhn(d + c))
         return r.choice([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}"])
 
+    def bad():  # a card's digits with a wrong checksum
+        d = card()
+        return d[:-1] + r.choice([c for c in "0123456789" if c != d[-1]])
+
     def iban():
         code, body = r.choice(["DE", "FR", "ES", "GB"]), num(18)
         check = 98 - int("".join(str(int(c, 36)) for c in body + code + "00")) % 97
@@ -222,6 +257,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         "email": email,
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
+        "bad": bad,
         "phone": lambda: r.choice([f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}"]),
         "ssn": lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}",
         "iban": iban,
@@ -235,12 +271,12 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(1, 3)):
-            kind = r.choice([*KINDS, "none", "none"])
+            kind = r.choice([*KINDS, "none", "none", "bad"])
             text += " ".join(word() for _ in range(r.randint(1, 4))) + " "
             if kind in ("birth",) or r.random() < 0.6:
-                text += r.choice(cues[kind]) + r.choice([" ", ": "])
+                text += r.choice(cues["card" if kind == "bad" else kind]) + r.choice([" ", ": "])
             value = make[kind]()
-            if kind != "none":
+            if kind in KINDS:
                 spans.append((len(text), len(text) + len(value), kind))
             text += value + r.choice([" ", ", ", ". "])
         out.append((text, spans))
@@ -276,13 +312,19 @@ def spans_of(text: str | None, weights: dict[str, float]) -> tuple[list[tuple[in
     """(base spans, added spans)."""
     if not text:
         return [], []
-    base = base_spans(text)
-    added = []
+    base, added = base_spans(text), []
+    taken: list[tuple[int, int]] = []
+    for s, e, _ in sorted(base):  # base spans of different kinds can overlap
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    starts = [s for s, _ in taken]
     for a, b in stretches(text):
         for s, e, kind in decode(text[a:b], weights):
             s, e = s + a, e + a
-            cut = (s == a > 0 and text[a - 1].isalnum()) or (e == b < len(text) and text[b].isalnum())
-            if not cut and not any(x < e and s < y for x, y, _ in base):
+            before = bisect_right(starts, e - 1)
+            if not before or taken[before - 1][1] <= s:
                 added.append((s, e, kind))
     return base, added
 
