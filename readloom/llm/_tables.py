@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,11 +47,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 WRITTEN: list[str] = []
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables ``written`` has made, once no frame reads them any more."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    deleted(spark, WRITTEN)
+    WRITTEN.clear()
+
+
+def released(spark: SparkSession) -> None:
+    """Has Spark remove shuffle and checkpoint files of frames that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import checkpointed, documents, matched, unused, written
+from ._tables import checkpointed, documents, matched, released, unused, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 32, 4, 20240229
 #: Rounds go on while at least one in so many comparisons links; shingles (and 1000 a text) in a block.
@@ -270,6 +270,7 @@ def labelled(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, b
             break
         links = found if links is None else links.unionByName(found)
         labels = checkpointed(components(links))
+        released(docs.sparkSession)  # a round's shuffles are not needed by the next
     if not found_all:
         found = checkpointed(block_links(here, sets, threshold, bands))
         if not found.isEmpty():
