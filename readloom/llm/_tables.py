@@ -65,10 +65,22 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint (small tables of iterative steps); Spark removes its files when the frame is no longer held."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Latest:
+    """The newest of a series of small written tables (steps of a loop): when the next is there, the one before goes.
+
+    Parquet tables are read by as few tasks as their bytes need, where a checkpoint keeps the partitions of the shuffle before
+    it, each with files of its own in every shuffle that follows."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def of(self, df: DataFrame) -> DataFrame:
+        out = written(df, self.name)
+        before, self.path = self.path, WRITTEN[-1]
+        if before:
+            deleted(df.sparkSession, [before])
+            WRITTEN.remove(before)
+        return out
 
 
 def held(df: DataFrame, **columns) -> DataFrame:

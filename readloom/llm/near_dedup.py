@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import checkpointed, documents, matched, released, unused, written
+from ._tables import Latest, documents, matched, released, unused, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 32, 4, 20240229
 #: Rounds go on while at least one in so many comparisons links; shingles (and 1000 a text) in a block.
@@ -134,17 +134,19 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (u, v); component is the smallest id reachable."""
-    edges = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    step = Latest("edges")
+    edges = step.of(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = _with_least(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = checkpointed(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
+        edges = step.of(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == state:
             break
         state = tuple(now)
+        released(edges.sparkSession)  # a step's shuffles are not needed by the next
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -157,7 +159,7 @@ def block_links(here: DataFrame, sets: DataFrame, threshold: int, bands: int) ->
     links that join them, at most one for each id.
     """
     joint = components(here.select(F.col("id").alias("u"), F.col("c.id").alias("v"))).withColumnRenamed("component", "cluster")
-    nodes = checkpointed(here.select("id", "n", "component").distinct().join(joint, "id").withColumn("weight", F.col("n") + 1000))
+    nodes = written(here.select("id", "n", "component").distinct().join(joint, "id").withColumn("weight", F.col("n") + 1000), "cluster-nodes")
     comps = nodes.groupBy("cluster", "component").agg(F.sum("weight").alias("w")).withColumn("part", F.when(F.col("w") > BLOCK / 2, F.col("component")))
     parts = comps.groupBy("cluster", "part").agg(F.ceil(F.sum("w") / BLOCK).cast("int").alias("nb"))
     order = Window.partitionBy("cluster").orderBy(F.col("part").asc_nulls_first())
@@ -249,19 +251,20 @@ def labelled(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, b
     sets = written(full_sets(wanted, size, bands, rows, seed).dropDuplicates(["id"]), "sets")  # rows that repeat have equal sets
 
     links, tested, labels, turn, found_all, useful = None, None, None, 0, False, None
+    meeting, labelling = Latest("meeting"), Latest("labels")
     while True:
         here = members if labels is None else members.join(labels, "id", "left")
         here = here.withColumn("component", F.col("id") if labels is None else F.coalesce("component", "id"))
         open_ = here.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "n", "component")).alias("c")).filter("lo < hi")
-        here = checkpointed(here.join(open_.select("band", "bucket", "c"), ["band", "bucket"]))
+        here = meeting.of(here.join(open_.select("band", "bucket", "c"), ["band", "bucket"]))
         if found_all := here.isEmpty():
             break
         if useful is not None and not useful:
             break
         pairs = here.filter("component <> c.component and 100 * least(n, c.n) >= {0} * greatest(n, c.n)".format(threshold))
         pairs = pairs.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct()
-        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        found = checkpointed(verified(pairs, sets, threshold))
+        pairs = written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        found = written(verified(pairs, sets, threshold), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
         n_found = found.count()
@@ -269,12 +272,12 @@ def labelled(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, b
         if not n_found:
             break
         links = found if links is None else links.unionByName(found)
-        labels = checkpointed(components(links))
+        labels = labelling.of(components(links))
         released(docs.sparkSession)  # a round's shuffles are not needed by the next
     if not found_all:
-        found = checkpointed(block_links(here, sets, threshold, bands))
+        found = written(block_links(here, sets, threshold, bands), "links")
         if not found.isEmpty():
-            labels = checkpointed(components(found if links is None else links.unionByName(found)))
+            labels = labelling.of(components(found if links is None else links.unionByName(found)))
     of = nodes.drop("first_text").withColumnRenamed("key", "_k")
     out = base.select("doc_id", "n_shingles", "key", "text_key").join(of, (F.col("key") == F.col("_k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     if labels is not None:
