@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 
@@ -18,6 +19,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Bytes a task of a shuffle that we size ourselves is to read.
+TASK_BYTES = 16 << 20
+
+
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """Tasks for a shuffle of ``size`` bytes: ``TASK_BYTES`` each up to 8192 tasks, beyond that larger ones of a gigabyte at most; the cores at least."""
+    return max(spark.sparkContext.defaultParallelism, min(math.ceil(size / TASK_BYTES), max(8192, math.ceil(size / 2**30))))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(reachable(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 

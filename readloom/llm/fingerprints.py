@@ -6,9 +6,10 @@ node hashes its level and its children; the root, 256 bits, is the fingerprint:
 differing roots the differing branches lead to the edits (``edits``). Likeness is the share of both texts' characters
 that lie in leaves they have in common.
 
-The query compares every text with the next document's. Documents are dealt by id ranges into partitions that are read
-in order with one row of lookahead; the first document of each range is also sent to the range before (of the first, to
-the last). Texts are shuffled once, and the driver sees range bounds only.
+The query compares every text with the next document's, and lists (``edits``) the spans of the text under branches that
+the edited text's tree lacks. Documents are dealt by id ranges, as many as the texts' bytes need, each into a partition of
+its own that is read in order with one row of lookahead; the first document of each range is also sent to the range
+before (of the first, to the last). Texts are shuffled once, and the driver sees range bounds only.
 
 Edge cases: null texts are empty; the empty text has a fingerprint and likeness 1 to another; null ids come first; equal
 ids follow one another by text; a single document is its own next; an empty table gives no rows; extra columns are ignored.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import documents, let
+from ._tables import documents, let, tasks_for
 
 SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$")
 LONG = 400
@@ -86,7 +87,7 @@ class Tree:
         return 2 * sum(min(n, other.shares.get(h, 0)) for h, n in self.shares.items()) / (a + b) if a + b else 0.0
 
     def edits(self, other: Tree) -> list[tuple[int, int]]:
-        """(start, end) of this text's leaves under branches that the other tree lacks."""
+        """(start, end) of this text's leaves, neighbours joined, under branches that the other tree lacks."""
         sections = {h for h, _ in other.sections}
         paragraphs = {p[0] for _, ps in other.sections for p in ps}
         out: list[tuple[int, int]] = []
@@ -94,7 +95,8 @@ class Tree:
             for p in [] if h in sections else ps:
                 for leaf, start, n in [] if p[0] in paragraphs else p[2]:
                     if leaf not in other.shares:
-                        out.append((start, start + n))
+                        first = out.pop()[0] if out and out[-1][1] == start else start
+                        out.append((first, start + n))
         return out
 
 
@@ -127,7 +129,7 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """(part, role, doc_id, text): rows of an id range, then with role 1 the first of the next range."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = tasks_for(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     bounds = sorted(set(docs.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     part = range_of(F.col("o"), [int(b) for b in bounds])
     rows = rows.withColumn("part", part)
@@ -135,14 +137,14 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     known = spark.createDataFrame([(p, h, heads[k - 1][0]) for k, (p, h) in enumerate(heads)], "part int, head long, before int")
     also = F.when(F.col("o") == F.col("head"), F.array(F.struct(F.col("part"), F.lit(0).alias("role")), F.struct(F.col("before").alias("part"), F.lit(1).alias("role"))))
     rows = rows.join(F.broadcast(known), "part").withColumn("to", F.explode(F.coalesce(also, F.array(F.struct(F.col("part"), F.lit(0).alias("role"))))))
-    return rows.select("to.part", "to.role", "doc_id", "text", "o").repartition(parts, "part").sortWithinPartitions("part", "role", "o", "text"), parts
+    return rows.select("to.part", "to.role", "doc_id", "text", "o").repartitionById(parts, F.col("part")).sortWithinPartitions("part", "role", "o", "text"), parts
 
 
 def compared_with_next(docs: DataFrame) -> DataFrame:
-    """Per document: its fingerprint, that of its text with the last half replaced from the next one's, and likenesses."""
+    """Per document: its fingerprint, that of its text with the last half replaced from the next one's, likenesses, and where the edit is."""
 
     def rows(batches):
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits"]
         last = None
         for batch in batches:
             out: list[tuple] = []
@@ -157,13 +159,13 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
                 half = len(t) // 2
                 edited = t[: len(t) - half] + text[:half]
                 other = Tree(edited)
-                out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), tree.root, other.root, tree.likeness(other), tree.likeness(following)))
+                out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), tree.root, other.root, tree.likeness(other), tree.likeness(following), [{"start": a, "end": b} for a, b in tree.edits(other)]))
                 last = None if role else (part, doc, text, following)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names)
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names)
 
     dealt, _ = in_order(docs)
-    return dealt.mapInArrow(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<struct<start: bigint, end: bigint>>")
 
 
 def op3_fingerprints(spark, sf_dir: str) -> DataFrame:

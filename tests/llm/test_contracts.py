@@ -147,7 +147,22 @@ def test_op3(spark, docs, folder):
         a, b, c = map(fingerprints.Tree, (t, edited, following))
         want.append((d["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest(), a.root, b.root, a.likeness(b), a.likeness(c)))
     got = queries()["op3_fingerprints"](spark, folder).collect()
-    assert shown(tuple(r) for r in got) == shown(want)
+    assert shown(tuple(r)[:7] for r in got) == shown(want)
+    spans = Counter()
+    for k, t in enumerate(texts):  # leaf by leaf, without a tree
+        following, half = texts[(k + 1) % len(texts)], len(t) // 2
+        there = {x for p in (t[: len(t) - half] + following[:half]).split("\n") for x in fingerprints.leaves(p)}
+        mine, at = [], 0
+        for p in t.split("\n"):
+            here = at
+            for leaf in fingerprints.leaves(p):
+                if leaf not in there:
+                    mine[-1:] = [(mine[-1][0], here + len(leaf))] if mine and mine[-1][1] == here else [*mine[-1:], (here, here + len(leaf))]
+                here += len(leaf)
+            at += len(p) + 1
+        spans[rows[k]["doc_id"], want[k][3], want[k][4], tuple(mine)] += 1
+    assert spans == Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], tuple((x["start"], x["end"]) for x in r["edits"])) for r in got)
+    assert any(k[3] for k in spans) or len(rows) < 2
     by = defaultdict(set)
     for t, w in zip(texts, want, strict=True):
         by[w[3]].add(t)
