@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import documents, written
+from ._tables import documents, tasks_for, written
 from .tokens import encoder
 
 CAPACITY, TOKENIZER, END = 2048, "word_bpe_49k.json", 0
@@ -208,18 +208,24 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
+#: Pieces of one length that are ranked together, about.
+RANKED = 500
+
+
 def packed(parts: DataFrame, plan=plan_matching, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (a written table) with ``sequence_id`` and ``offset``."""
-    n = parts.count()
-    salts = max(8, min(4096, n // 50_000))
-    rows = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    """``parts`` (a written table) with ``sequence_id`` and ``offset``. Each length is ranked in as many salted parts as its
+    count needs, whichever lengths are frequent."""
+    spark = parts.sparkSession
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    tasks = tasks_for(spark, sum(n * (64 + 2 * length * ("ids" in parts.columns)) for length, n in histogram.items()))
+    salts = spark.createDataFrame([(length, -(-n // RANKED)) for length, n in histogram.items()], "length int, salts long")
+    rows = parts.join(F.broadcast(salts), "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), salts)").cast("int"))
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = sorted(plan(histogram, capacity).runs)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    rows = rows.withColumn("own", F.row_number().over(own)).join(firsts, ["length", "salt"])
+    rows = rows.repartition(tasks, "length", "salt").withColumn("own", F.row_number().over(own)).join(firsts, ["length", "salt"])
     rows = rows.withColumn("rank", F.col("first") + F.col("own") - 1).select(*parts.columns, "rank")
     table = np.array(runs, "int64").reshape(-1, 5)
 
@@ -254,7 +260,7 @@ def matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZ
     document. Positions restart at every entry of ``cu_seqlens`` (at ``position_starts`` for continued documents)."""
     parts = written(pieces(docs, capacity, tokenizer, end, with_ids=True), "token-ids")
     rows = packed(parts, plan_bfd, capacity).select("sequence_id", "offset", "doc_id", "piece", "start", "ids")
-    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks_for(docs.sparkSession, 2 * (parts.agg(F.sum("length")).first()[0] or 0))
     rows = rows.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset")
 
     def joined(batches):
