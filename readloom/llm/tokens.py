@@ -1,22 +1,30 @@
 """Token ids of whole texts by a public tokenizer, through Arrow batches.
 
-The word tokenizer drops white space, so a text's ids are those of its space-separated chunks in turn. Chunks repeat far
-more than texts do: their ids are kept in bounded dictionaries per worker process. A new chunk that is Latin letters with
-punctuation after them is two pieces for the tokenizer's model, looked up apart; any other goes through the whole
-tokenizer.
+The word tokenizer lower-cases, drops white space and cuts letters, single digits and marks apart before its model sees
+them. Such pieces repeat far more than texts do: their ids are kept in a bounded dictionary per worker process. Texts of
+ASCII and Latin-1 letters are cut into pieces here by the tokenizer's own pattern, block by block; other texts
+chunk by chunk between spaces, where a chunk that has other characters goes through the whole tokenizer and is kept likewise. Texts that name a special token, and all texts
+where the tokenizer's settings are others, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Entries of one generation; a dictionary holds two, and what is used passes to the newer one.
 CACHE = 250_000
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Characters of a block that go through the pattern at once, about.
+BLOCK = 1 << 20
+LATIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+PIECES = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+# The settings of the tokenizer that PIECES and LATIN stand for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,22 +68,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids of this tokenizer don't fit 16 bits")
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        steps = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.words = settings["normalizer"] == NORMALIZER and [x.get("pattern") for x in steps] == [{"Regex": SPLIT}, None] and steps[1]["type"] == "ByteLevel"
+        self.special = [x["content"] for x in settings["added_tokens"]]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.pieces, self.chunks = Kept(self._piece), Kept(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = "".join(map(self.letters.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u2").tobytes()
+        return array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+    def _latin(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
 
     def _chunk(self, chunk: str) -> bytes:
-        if m := LATIN.fullmatch(chunk):
-            word, marks = m.groups()
-            return self.pieces[word.lower()] + (self.pieces[marks] if marks else b"")
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes() if chunk else b""
+        return self._latin(chunk) if LATIN.fullmatch(chunk) else self._whole(chunk)
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        """Little-endian 16-bit ids (of the machines Spark runs on)."""
+        text = text or ""
+        if not self.words or any(x in text for x in self.special):
+            return self._whole(text)
+        if not LATIN.fullmatch(text):
+            return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + BLOCK)
+            end = len(text) if end < 0 else end
+            out.append(self._latin(text[at:end]))
+            at = end
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)

@@ -291,6 +291,20 @@ def test_op5_and_op9(spark, docs, folder):
     assert found == want
 
 
+def test_encoder_gives_the_tokenizers_own_ids():
+    import public_tokenizers
+    from readloom.llm.tokens import Encoder
+
+    r, letters = random.Random(5), "aAbZ'sSTRElvmd ..,!ßÉéÿÀ09\n\t\r <|>-_x\u2019Σ日\u0301\u00a0½"
+    texts = ["".join(r.choice(letters[: r.choice((33, 50))]) for _ in range(r.randrange(50))) for _ in range(3000)]
+    texts += ["", None, "<|endoftext|> a", "foo<|endoftext|>Bar", "It's ONE\u2019s e\u0301", "a" * 3000 + " " + "b. " * 400_000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(public_tokenizers.path(name))
+        for t in texts:
+            ids = e.tokenizer.encode(t or "", add_special_tokens=False).ids
+            assert e(t) == struct.pack(f"<{len(ids)}H", *ids), t
+
+
 def check_bins(rows, capacity=2048):
     at = defaultdict(int)
     for seq, offset, length in sorted(rows):
